@@ -4,7 +4,8 @@ The content view sees only the text (hashed byte n-grams and text statistics);
 the metadata view sees only source, language and length.  In each round each
 classifier labels the pool rows it is surest of and passes them to the other as
 training rows; at the end both are calibrated on held-back labelled rows and
-their calibrated log-odds are averaged.
+their calibrated log-odds are added (the prior's once): the views are taken as
+independent given the class.
 
 Labelled rows and pool are bounded samples (documented parameters); scoring
 covers every row and whole texts.  Null or empty text scores by what the
@@ -91,8 +92,9 @@ class CoTrained:
 
     def combine(self, margins: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
         probs = [np.clip(sigmoid(a * m + b), 1e-6, 1 - 1e-6) for m, (_, _, a, b) in zip(margins, self.views)]
-        mean = sum(np.log(p / (1 - p)) for p in probs) / len(probs)
-        return sigmoid(mean), probs
+        prior = np.clip(self.prior, 1e-3, 1 - 1e-3)  # each view's odds hold the prior; it counts once
+        odds = sum(np.log(p / (1 - p)) for p in probs) - (len(probs) - 1) * np.log(prior / (1 - prior))
+        return sigmoid(odds), probs
 
 
 def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = 4, share: float = 0.05, sure: float = 0.9) -> CoTrained:

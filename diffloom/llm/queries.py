@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, tokenbin
+from . import bpe, langid, neardup, quality, tokenbin
 from .common import read
 
 
@@ -18,6 +18,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip")
 
 
+def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document at 85 %."""
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text."""
     return langid.identify_languages(read(spark, sf_dir, "documents"))
@@ -35,7 +40,7 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op5_language_id, op7_quality_cotraining, op8_token_binary)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_minhash_neardup, op5_language_id, op7_quality_cotraining, op8_token_binary)}
 
 
 def oracle_sql() -> dict[str, str]:
