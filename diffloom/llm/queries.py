@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, neardup, quality, tokenbin
+from . import bpe, langid, lm, neardup, quality, tokenbin
 from .common import read
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marginal probability of every whole text."""
+    return lm.score_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, decoded again."""
     docs = read(spark, sf_dir, "documents")
@@ -40,7 +45,7 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op4_minhash_neardup, op5_language_id, op7_quality_cotraining, op8_token_binary)}
+    return {f.__name__: f for f in (op1_lattice_lm, op3_byte_bpe, op4_minhash_neardup, op5_language_id, op7_quality_cotraining, op8_token_binary)}
 
 
 def oracle_sql() -> dict[str, str]:
