@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lm, neardup, quality, tokenbin
+from . import bpe, hostrules, langid, lm, neardup, quality, secrets, tokenbin
 from .common import read
 
 
@@ -16,6 +16,11 @@ def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text."""
+    return secrets.secret_digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, decoded again."""
     docs = read(spark, sf_dir, "documents")
@@ -44,8 +49,13 @@ def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and host verdicts for every document."""
+    return hostrules.host_quality(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_lm, op3_byte_bpe, op4_minhash_neardup, op5_language_id, op7_quality_cotraining, op8_token_binary)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_entropy_secrets, op3_byte_bpe, op4_minhash_neardup, op5_language_id, op7_quality_cotraining, op8_token_binary, op9_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,9 +25,9 @@ def span_sql(text: str, pattern: str, gate: str | None = None) -> str:
     without it skip the scan.
     """
     p = quoted(pattern)
+    found = f"filter(zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (g, v) -> named_struct('gap', g, 'value', v)), m -> m.value is not null)"
     made = (
-        f"aggregate(arrays_zip(regexp_extract_all({text}, {p}, 0) as value, slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))) as gap), "
-        f"named_struct('at', 0, 'out', {EMPTY}), "
+        f"aggregate({found}, named_struct('at', 0, 'out', {EMPTY}), "
         "(s, m) -> named_struct('at', s.at + char_length(m.gap) + char_length(m.value), "
         "'out', concat(s.out, array(named_struct('start', s.at + char_length(m.gap), 'end', s.at + char_length(m.gap) + char_length(m.value), 'value', m.value)))), "
         "s -> s.out)"
