@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SAFE = re.compile(r"(?<=[A-Za-z0-9.,]) (?=[A-Za-z0-9])")
 PIECE_CHARS = 1 << 16
@@ -64,13 +65,13 @@ def decode(enc, ids: list[int]) -> bytes:
     return enc.decode_bytes(ids)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, piece_chars: int = PIECE_CHARS) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256, round_trip[, token_ids]) of each row of docs.
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, keep: tuple[str, ...] = (), piece_chars: int = PIECE_CHARS) -> DataFrame:
+    """(id, keep, n_tokens, ids_sha256, decoded_sha256, round_trip[, token_ids]) of each row of docs.
 
     round_trip tells that the decoded bytes are those of the text.
     """
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"_k{i}") for i, c in enumerate(keep)])
+    kinds = [f.dataType.simpleString() for f in source.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path, pattern)
@@ -88,12 +89,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                     same.append(raw == (text or "").encode("utf-8"))
                     if keep_ids:
                         kept.append(packed.astype(np.int32))
-                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())]
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
+                columns = [part.column(0), *[part.column(2 + i) for i in range(len(keep))], pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())]
+                names = ["id", *[f"_k{i}" for i in range(len(keep))], "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
                 if keep_ids:
                     columns.append(pa.array(kept, pa.list_(pa.int32())))
                     names.append("token_ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + (", token_ids array<int>" if keep_ids else "")
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    schema = f"id {kinds[0]}" + "".join(f", _k{i} {kinds[2 + i]}" for i in range(len(keep)))
+    schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + (", token_ids array<int>" if keep_ids else "")
+    out = source.mapInArrow(run, schema)
+    return out.select(F.col("id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[c for c in out.columns if c != "id" and not c.startswith("_k")])

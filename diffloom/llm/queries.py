@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hostrules, langid, lm, neardup, quality, secrets, tokenbin
+from . import bpe, decontam, hostrules, langid, lm, neardup, pii, quality, secrets, tokenbin
 from .common import read
 
 
@@ -38,6 +38,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(read(spark, sf_dir, "documents"))
 
 
+def op6_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text."""
+    docs = read(spark, sf_dir, "documents")
+    return pii.pii_digest(pii.find_pii(docs, pii.train(docs)))
+
+
 def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every whole document."""
     docs = read(spark, sf_dir, "documents")
@@ -54,8 +60,13 @@ def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.host_quality(read(spark, sf_dir, "documents"))
 
 
+def op10_simhash_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every whole document."""
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_lm, op2_entropy_secrets, op3_byte_bpe, op4_minhash_neardup, op5_language_id, op7_quality_cotraining, op8_token_binary, op9_host_rules)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_entropy_secrets, op3_byte_bpe, op4_minhash_neardup, op5_language_id, op6_weak_pii, op7_quality_cotraining, op8_token_binary, op9_host_rules, op10_simhash_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:
