@@ -135,5 +135,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the documents that hold a benchmark item."""
-    found = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(cut(found), docs[id_col].cast("long") == F.col("_doc"), "left_anti")
+    found = cut(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_doc")).distinct())
+    return docs.join(found, docs[id_col].cast("long") == found["_doc"], "left_anti")

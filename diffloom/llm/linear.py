@@ -124,16 +124,26 @@ def fit_platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset that turn margins into probabilities (smoothed targets, Newton steps)."""
     up, down = (y > 0).sum(), (y <= 0).sum()
     target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+    unit = float(np.abs(margin).mean()) or 1.0
+    x = margin / unit
+
+    def loss(a: float, b: float) -> float:
+        z = np.clip(a * x + b, -40, 40)
+        return float((np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - target * z).sum() + 5e-4 * a * a)
+
     a, b = 1.0, 0.0
     for _ in range(50):
-        p = sigmoid(a * margin + b)
-        g = p - target
-        h = np.maximum(p * (1 - p), 1e-9)
-        grad = np.array([(g * margin).sum() + 1e-3 * a, g.sum()])
-        hess = np.array([[(h * margin * margin).sum() + 1e-3, (h * margin).sum()], [(h * margin).sum(), h.sum() + 1e-9]])
-        move = np.linalg.solve(hess, grad)
-        a, b = a - np.clip(move[0], -5, 5), b - np.clip(move[1], -5, 5)
-    return float(max(a, 1e-3)), float(b)
+        p = sigmoid(a * x + b)
+        g, h = p - target, np.maximum(p * (1 - p), 1e-9)
+        grad = np.array([(g * x).sum() + 1e-3 * a, g.sum()])
+        hess = np.array([[(h * x * x).sum() + 1e-3, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
+        move, step, now = np.linalg.solve(hess, grad), 1.0, loss(a, b)
+        while step > 1e-6 and loss(a - step * move[0], b - step * move[1]) > now:
+            step /= 2  # Newton's step is shortened until the loss falls
+        a, b = a - step * move[0], b - step * move[1]
+        if np.abs(step * move).max() < 1e-9:
+            break
+    return float(max(a, 1e-3)) / unit, float(b)
 
 
 def bounded_sample(df, key, per_key: int, id_col: str, seed: str):

@@ -37,7 +37,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Broader kinds judged by the method; one pattern finds them all.
 EXTRA = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z]{2,}(?![A-Za-z0-9])",
-    "local": r"(?<![0-9A-Za-z+.-])(?<![0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![ .-]?[0-9A-Za-z])",
+    "local": r"(?<![0-9A-Za-z+.-])(?<![0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])(?![ .-][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
@@ -76,8 +76,8 @@ def _base(kind: str, text: str) -> str:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, keep, _text, email, ip, card, phone, extra): arrays of (start, end, value); extra has kind, too."""
-    rows = docs.select(docs[id_col], *[docs[c] for c in keep], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
+    """(_id, _keep0.., _text, _email, _ip, _card, _phone, _extra): arrays of (start, end, value); _extra has kind, too."""
+    rows = docs.select(docs[id_col].alias("_id"), *[docs[c].alias(f"_keep{i}") for i, c in enumerate(keep)], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
     rows = rows.select("*", *[F.expr(_base(k, "_text")).alias(f"_{k}") for k in KINDS])
     kind = "case " + " ".join(f"when m.value rlike {quoted('^(?:' + p + ')$')} then '{k}'" for k, p in EXTRA.items()) + " else 'local' end"
     free = " and ".join(f"not exists(_{k}, b -> b.start < m.end and m.start < b.end)" for k in KINDS)
@@ -214,12 +214,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     return Model(share, rel, weights, bias)
 
 
-def find_pii(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), least: float = 0.5) -> DataFrame:
-    """(id, keep, _text, email, ip, card, phone, extra) of each row; extra holds the accepted broader spans."""
+def _accepted(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: tuple[str, ...], least: float) -> DataFrame:
+    """candidates() with only the extra spans that the model accepts."""
     found = candidates(docs, id_col, text_col, keep)
     judged = f"transform(filter(zip_with(_extra, {_described('_extra')}, (m, d) -> named_struct('start', m.start, 'end', m.end, 'value', m.value, 'kind', m.kind, 'p', {model.sql('d.f')})), m -> m.p >= {least}D), m -> named_struct('start', m.start, 'end', m.end, 'value', m.value, 'kind', m.kind))"
-    extra = F.expr(f"case when size(_extra) > 0 then {judged} else _extra end")
-    return found.withColumn("_extra", extra).select(id_col, *keep, "_text", *[F.col(f"_{k}").alias(f"pii_{k}") for k in KINDS], F.col("_extra").alias("pii_extra"))
+    return found.withColumn("_extra", F.expr(f"case when size(_extra) > 0 then {judged} else _extra end"))
+
+
+def find_pii(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """(id, pii_email, pii_ip, pii_card, pii_phone, pii_extra) of each row; pii_extra holds the accepted broader spans."""
+    found = _accepted(docs, model, id_col, text_col, (), least)
+    return found.select(F.col("_id").alias(id_col), *[F.col(f"_{k}").alias(f"pii_{k}") for k in [*KINDS, "extra"]])
 
 
 def pii_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -236,16 +241,16 @@ def pii_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def redact_pii(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets; spans that overlap become one."""
+    """docs, with a null text empty, with every span of text replaced by its kind in brackets; spans that overlap become one."""
     keep = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    found = find_pii(docs, model, id_col, text_col, keep)
-    base = [f"transform(pii_{k}, m -> named_struct('start', m.start, 'end', m.end, 'kind', '{k}'))" for k in KINDS]
-    spans = f"array_sort(concat({', '.join(base)}, transform(pii_extra, m -> named_struct('start', m.start, 'end', m.end, 'kind', m.kind))))"
+    found = _accepted(docs, model, id_col, text_col, keep, 0.5)
+    base = [f"transform(_{k}, m -> named_struct('start', m.start, 'end', m.end, 'kind', '{k}'))" for k in KINDS]
+    spans = f"array_sort(concat({', '.join(base)}, transform(_extra, m -> named_struct('start', m.start, 'end', m.end, 'kind', m.kind))))"
     clean = (
         f"aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)), "
         "(s, m) -> named_struct('at', greatest(s.at, m.end), 'out', case when m.start >= s.at then concat(s.out, array(substring(_text, s.at + 1, m.start - s.at), concat('[', upper(m.kind), ']'))) else s.out end), "
         "s -> concat(array_join(s.out, ''), substring(_text, s.at + 1)))"
     )
-    any_span = " + ".join(f"size(pii_{k})" for k in [*KINDS, "extra"])
-    found = found.withColumn(text_col, F.expr(f"case when {any_span} > 0 then {clean} else _text end"))
-    return found.select(*docs.columns)
+    any_span = " + ".join(f"size(_{k})" for k in [*KINDS, "extra"])
+    names = {id_col: F.col("_id"), text_col: F.expr(f"case when {any_span} > 0 then {clean} else _text end")} | {c: F.col(f"_keep{i}") for i, c in enumerate(keep)}
+    return found.select(*[names[c].alias(c) for c in docs.columns])
