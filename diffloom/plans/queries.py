@@ -112,7 +112,8 @@ define("diff_paths_text", lambda x: diff.paths_text(x.lines, x.patches), "select
 _GLUED = D.replace("patch", rules.GLUED, "{1}\n{2}")
 _count = lambda cond: f"len(list_filter(string_split({_GLUED}, chr(10)), lambda l: {cond}))"
 _added, _removed = "l like '+%' and l not like '+++%'", "l like '-%' and l not like '---%'"
-define("diff_size_features", lambda x: diff.size_features(x.patches), f"select patch_id, {_count(_added)} as lines_added, {_count(_removed)} as lines_removed, {_count(_added)} + {_count(_removed)} as lines_changed, {_count(chr(39).join(['l like ', '--- %', ' or l like ', 'diff --git%', '']))} as files_touched, {_count(chr(39).join(['l like ', '@@%', '']))} as hunks from patches")
+_FILES_LIKE, _HUNKS_LIKE = "l like '--- %' or l like 'diff --git%'", "l like '@@%'"
+define("diff_size_features", lambda x: diff.size_features(x.patches), f"select patch_id, {_count(_added)} as lines_added, {_count(_removed)} as lines_removed, {_count(_added)} + {_count(_removed)} as lines_changed, {_count(_FILES_LIKE)} as files_touched, {_count(_HUNKS_LIKE)} as hunks from patches")
 define("diff_wellformed", lambda x: diff.wellformed(x.patches))
 
 

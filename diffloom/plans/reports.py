@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from diffloom.functions import rules
 from diffloom.operators import diff, heuristics, injection, learn, metrics, security
 
-from .queries import define, query
+from .queries import _FILES_LIKE, _HUNKS_LIKE, _added, _count, _removed, define, query
 
 ORDER_SQL = "(values " + ", ".join(f"('{r}')" for r in security.ORDER) + ") r(rule_id)"
 RANK = "case upper(severity) when 'CRITICAL' then 4 when 'HIGH' then 3 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end"
@@ -214,7 +214,11 @@ def _group_cv(x):
     return learn.leave_one_out(rows, "part").select("patch_id", "fold", "score")
 
 
-@query("ml_sign_check")
+_sizes = f"select patch_id, split, resolved as label, {_count(_added)} as lines_added, {_count(_removed)} as lines_removed, {_count(_added)} + {_count(_removed)} as lines_changed, {_count(_FILES_LIKE)} as files_touched, {_count(_HUNKS_LIKE)} as hunks from patches where resolved is not null and split = 'train'"
+_scaled = ", ".join(f"round(avg({c}), 6) as {c}" for c in SIZES)
+
+
+@query("ml_sign_check", f"select label::double as label, {_scaled} from (select label, " + ", ".join(f"({c} - avg({c}) over ()) / coalesce(nullif(stddev_pop({c}) over (), 0), 1) as {c}" for c in SIZES) + f" from ({_sizes})) group by 1")
 def _sign(x):
     """Direction of each size feature alone: mean by label on train."""
     rows = _sized(x).filter("split = 'train'")
@@ -251,7 +255,11 @@ def _training(x):
     return gold.unionByName(bad).select("patch_id", "repo", "label", "source", F.length("patch").cast("long").alias("chars"))
 
 
-@query("ml_truncate_pair")
+_words = lambda c: f"len(list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> ''))"
+_floor = "least(a, greatest(16, least(48, 509 // 4)))"
+
+
+@query("ml_truncate_pair", f"select patch_id, least(a, greatest({_floor}, 509 - b)) as issue_words, least(b, 509 - {_floor}) as patch_words from (select patch_id, {_words('problem_statement')} as a, {_words('patch')} as b from patches p join issues i on i.instance_id = p.instance_id)")
 def _truncate(x, budget: int = 512 - 3):
     """Words kept of each issue and patch when a pair shares 509 words."""
     rows = x.patches.join(x.issues, "instance_id").select("patch_id", F.expr("size(filter(split(problem_statement, '\\\\s+', -1), w -> w <> ''))").alias("a"), F.expr("size(filter(split(patch, '\\\\s+', -1), w -> w <> ''))").alias("b"))
