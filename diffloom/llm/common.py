@@ -56,3 +56,19 @@ def salted_join(rows: DataFrame, lookup: DataFrame, on: list[str], spread: Colum
 def held_out(col: str, folds: int, fold: int) -> Column:
     """True where crc32 of the id's text leaves the remainder `fold`; null ids are never held out."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+#: Ids that may be broadcast: about 2 MB of long values.
+BROADCAST_IDS = 250_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose `on` is (left_semi) or isn't (left_anti) in the one-column ids.
+
+    The ids are counted first: up to BROADCAST_IDS they are broadcast and the
+    rows, with their texts, stay where they are; more of them meet the rows in
+    a shuffle.
+    """
+    few = ids.count() <= BROADCAST_IDS
+    ids = ids.toDF("_wanted")
+    return rows.join(F.broadcast(ids) if few else ids, rows[on] == ids["_wanted"], how)

@@ -32,7 +32,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import by_ids, cut
 
 SHINGLE, RADIUS, BLOCKS, PERCENT = 5, 15, 4, 80
 SEED_BLOCK = 2_000_000
@@ -104,7 +104,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = cut(windows)
 
     # Fingerprints of the windows, from the hashes of the documents that have any.
-    marked = docs.join(windows.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    marked = by_ids(docs, windows.select("doc").distinct(), "doc").dropDuplicates(["doc"])
     width = F.greatest(F.lit(1), F.col("size") - (SHINGLE - 1))
     cuts = marked.join(windows, "doc").select("doc", "start", "size", F.slice("hashes", F.col("start") + 1, width).alias("hashes"))
     counted = cuts.select("doc", "start", "size", F.explode_outer("hashes").alias("h")).groupBy("doc", "start", "size", "h").agg(F.count(F.lit(1)).alias("k"))
@@ -136,4 +136,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the documents that hold a benchmark item."""
     found = cut(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("doc_id").alias("_doc")).distinct())
-    return docs.join(found, docs[id_col].cast("long") == found["_doc"], "left_anti")
+    return by_ids(docs, found, id_col, "left_anti")
