@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffloom import corpus
@@ -45,7 +46,8 @@ class Inputs:
 
     @property
     def lines(self) -> DataFrame:
-        return self._once("lines", lambda: diff.diff_lines(self.patches))
+        """The shared parse, kept (memory, then disk) because a scan reads it in several branches."""
+        return self._once("lines", lambda: diff.diff_lines(self.patches).persist(StorageLevel.MEMORY_AND_DISK))
 
     @property
     def security(self) -> DataFrame:
