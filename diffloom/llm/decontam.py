@@ -9,16 +9,20 @@ Each window gets a 64-bit SimHash of its weighted shingles.  Fingerprints meet
 the items' fingerprints through a multi-index of BLOCKS blocks: two
 fingerprints within RADIUS bits differ by at most RADIUS // BLOCKS bits in one
 block, and the items stand in the index under every such variant of every
-block, so no pair within the radius is lost.  Pairs within the radius are then
-compared exactly: the weighted Jaccard similarity of window and item must reach
-`percent` / 100.
+block, so no pair within the radius is lost.  A pair that reaches the similarity
+can still lie beyond the radius, so a window also meets every item of its size
+of which it holds a leading shingle: an item's rarest shingles up to the weight
+without which the rest falls short of `percent`, hence a window that reaches it
+holds one of them.  All these pairs are then compared exactly: the weighted
+Jaccard similarity of window and item must reach `percent` / 100.
 
 A shingle's weight is 1 + log2 of the items per item that holds it, rounded to
 whole numbers: what many items share weighs least, and so do shingles that no
 item holds weigh most.  Shingle hashes of the items travel to the executors
 only in blocks of at most SEED_BLOCK rows, one pass over the documents for each
 block.  A pair at similarity 0.8 has a SimHash distance of about 10 with a
-standard deviation under 3; RADIUS is 15.
+standard deviation under 3; RADIUS is 15, which alone would lose about 2 % of
+such pairs.  With the leading shingles no pair of a window and an item is lost.
 
 Null or empty text and text without words: no windows, no rows.  Null ids of
 documents or items: ignored.  Repeated rows of one document count as one.
@@ -29,7 +33,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_ids, cut
@@ -77,6 +81,14 @@ def items_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return items, weights
 
 
+def _leading(items: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
+    """(h, size, item): the rarest shingles of each item; one that shares none of them stays below `percent`."""
+    rows = items.select("item", "size", F.explode("weighted").alias("p")).select("item", "size", "p.h", F.col("p.w").alias("kw")).join(weights, "h")
+    order = Window.partitionBy("item").orderBy(F.col("w").desc(), "h")
+    rows = rows.withColumn("taken", F.sum("kw").over(order) - F.col("kw")).withColumn("total", F.sum("kw").over(Window.partitionBy("item")))
+    return rows.filter(100 * (F.col("total") - F.col("taken")) >= percent * F.col("total")).select("h", "size", "item")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", percent: int = PERCENT, radius: int = RADIUS, blocks: int = BLOCKS, seed_block: int = SEED_BLOCK) -> DataFrame:
     """(doc_id, item_id, start, n_words, hamming, similarity): the best window of each document and item that reaches `percent`.
 
@@ -121,12 +133,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     probes = prints.select("doc", "start", "size", "sim", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), key(b).alias("key")) for b in range(blocks)])).alias("e"))
     probes = probes.select("doc", "start", "size", "sim", F.col("e.block").alias("block"), F.col("e.key").alias("key"))
     near = probes.join(index, ["block", "key"]).filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("isim"))) <= radius)
-    near = cut(near.filter("size = isize").select("doc", "start", "size", "item", F.bit_count(F.col("sim").bitwiseXOR(F.col("isim"))).alias("hamming")).distinct())
+    near = near.filter("size = isize").select("doc", "start", "size", "item")
+
+    # Beyond the radius: items of which the window holds a leading shingle.
+    leading = cut(_leading(items, weights, percent))
+    leading = F.broadcast(leading) if leading.count() <= seed_block else leading
+    named = prints.select("doc", "start", "size", F.explode_outer("weighted.h").alias("h")).join(leading, ["h", "size"]).select("doc", "start", "size", "item")
+    near = cut(near.union(named).distinct())
 
-    # Exact weighted similarity of each window and item within the radius.
+    # Exact weighted similarity of each such window and item.
     sums = "aggregate({a}, 0L, (s, p) -> s + p.w)"
     shared = "aggregate(a, 0L, (s, p) -> s + coalesce(aggregate(filter(b, q -> q.h = p.h), 0L, (t, q) -> t + least(q.w, p.w)), 0L))"
-    both = near.join(prints.select("doc", "start", "size", F.col("weighted").alias("a")), ["doc", "start", "size"]).join(items.select("item", F.col("weighted").alias("b")), "item")
+    both = near.join(prints.select("doc", "start", "size", "sim", F.col("weighted").alias("a")), ["doc", "start", "size"]).join(items.select("item", F.col("sim").alias("isim"), F.col("weighted").alias("b")), "item")
+    both = both.withColumn("hamming", F.bit_count(F.col("sim").bitwiseXOR(F.col("isim"))))
     both = both.withColumn("shared", F.expr(shared)).withColumn("all", F.expr(f"{sums.format(a='a')} + {sums.format(a='b')}") - F.col("shared"))
     found = both.filter(100 * F.col("shared") >= percent * F.col("all")).withColumn("similarity", F.col("shared") / F.col("all"))
     best = found.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "size", "hamming")).alias("m"))

@@ -175,6 +175,17 @@ def test_decontamination(spark, docs_of):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, _ in pairs}
 
 
+def test_decontamination_beyond_the_radius(spark, docs_of):
+    """One word of 40 replaced: 32 of 40 shingles shared, similarity exactly 0.8, at any distance of the fingerprints."""
+    rng = random.Random(12)
+    prose = lambda n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(n)]
+    bench = [prose(40) for _ in range(300)]
+    docs = [" ".join([*prose(10), *words[:3], *prose(1), *words[4:], *prose(10)]) for words in bench]
+    got = decontam.contaminated(docs_of(docs), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(bench)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.similarity) for r in got) == [(i, i, 10, 0.8) for i in range(300)]
+    assert max(r.hamming for r in got) > decontam.RADIUS
+
+
 def test_multi_index_keeps_every_pair_within_the_radius():
     masks = set(decontam._variants(16, decontam.RADIUS // decontam.BLOCKS))
     rng = random.Random(10)
