@@ -66,6 +66,12 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.floor(F.col("doc_id") / 10).alias("instance_id"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), _pick(PHRASES, f"floor(doc_id / 10) % {len(PHRASES)}")).alias("problem_statement"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(text_id, text): every document as a text of its own, phrased like its instance's issue."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").alias("text_id"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), _pick(PHRASES, f"floor(doc_id / 10) % {len(PHRASES)}")).alias("text"))
+
+
 def oracle_ctes() -> dict[str, str]:
     """The same two relations for the checking engine."""
     from diffloom.functions.dialect import Duck

@@ -69,6 +69,11 @@ class Inputs:
     def issue_texts(self) -> DataFrame:
         return self.issues.select(F.col("instance_id").alias("text_id"), F.col("problem_statement").alias("text"))
 
+    @property
+    def texts(self) -> DataFrame:
+        """Every document, for the queries that read texts alone."""
+        return self._once("texts", lambda: corpus.texts(self.spark, self.sf_dir))
+
     @property
     def scored(self) -> DataFrame:
         """(model, id, instance_id, submission, label, score): labelled documents with two stand-in scores."""
@@ -153,8 +158,8 @@ define("sec007_hooks", lambda x: six(security.hook_findings(x.lines)), f"select
 define("sec_scan_patch", lambda x: x.security.select(*security.FINDING), f"select {SIX}, ord from security")
 
 # ---- Injection ----------------------------------------------------------------
-define("txt_normalize", lambda x: x.issue_texts.select("text_id", injection.normalize_text("text").alias("norm"), injection.normalize_text("text", True).alias("leet")))
-define("txt_base64", lambda x: x.issue_texts.select("text_id", F.array_join(injection.base64_payloads("text"), "\n").alias("payloads")))
+define("txt_normalize", lambda x: x.texts.select("text_id", injection.normalize_text("text").alias("norm"), injection.normalize_text("text", True).alias("leet")))
+define("txt_base64", lambda x: x.texts.select("text_id", F.array_join(injection.base64_payloads("text"), "\n").alias("payloads")))
 _bodies = lambda d, p: d.extract_all("html", "(?s)" + p, 1)
 
 
@@ -165,8 +170,8 @@ def _comments(x):
     return x.table("pages").select("page_id", F.expr(f"array_join(filter(transform(concat({a}, {b}), c -> trim(c)), c -> c <> ''), '\\n')").alias("comments"))
 
 
-define("txt_variants", lambda x: injection.text_variants(x.issue_texts))
-define("inj_scan_text", lambda x: injection.scan_texts(x.issue_texts))
+define("txt_variants", lambda x: injection.text_variants(x.texts))
+define("inj_scan_text", lambda x: injection.scan_texts(x.texts))
 _found = "select patch_id, rule_id, severity, source, file, line, evidence from injection"
 _seven = ["patch_id", "rule_id", "severity", "source", "file", "line", "evidence"]
 define("inj_scan_patch", lambda x: x.injection.select(*_seven), _found)
@@ -195,9 +200,9 @@ _legacy_sql = f"""select text_id, case when layer = 'validation' then 'WARNING'
     case when trim(problem_statement) = '' then 'validation' when {' or '.join(D.matches('problem_statement', p, 'i') for p, _ in rules.LEGACY)} then 'regex' else 'ai' end as layer from issues)"""
 define("inj_legacy_scan", lambda x: injection.legacy_scan(x.issue_texts, _stub_labels(x.issue_texts)), _legacy_sql)
 define("inj_legacy_batch", lambda x: injection.legacy_scan(x.issue_texts, _stub_labels(x.issue_texts.join(injection.legacy_regex(x.issue_texts), "text_id", "left_anti"))), _legacy_sql)
-define("inj_ml_chunks", lambda x: injection.chunk_lines(x.issue_texts))
-define("inj_ml_score", lambda x: injection.chunk_lines(x.issue_texts).groupBy("text_id").agg(F.round(F.max(F.expr(injection.stub_score("text"))), 9).alias("score"), F.bool_or("partial").alias("partial")))
-define("inj_ml_text", lambda x: injection.ml_texts(x.issue_texts, 0.9))
+define("inj_ml_chunks", lambda x: injection.chunk_lines(x.texts))
+define("inj_ml_score", lambda x: injection.chunk_lines(x.texts).groupBy("text_id").agg(F.round(F.max(F.expr(injection.stub_score("text"))), 9).alias("score"), F.bool_or("partial").alias("partial")))
+define("inj_ml_text", lambda x: injection.ml_texts(x.texts, 0.9))
 _hash = "(('0x' || substr(md5(content), 1, 8))::bigint / 4294967296.0::double)"
 define("inj_ml_patch", lambda x: injection.ml_comments(x.segments, 0.5).drop("status"), f"select patch_id, 'INJ_ML' as rule_id, 'MEDIUM' as severity, 'comment' as source, file, line_no as line, substr(content, 1, 200) as evidence, round({_hash.replace('4294967296', '4294967295')}, 6) as score from segments where {_hash.replace('4294967296', '4294967295')} >= 0.5")
 define("inj_ml_loader", lambda x: injection.not_run(x.issue_texts, "no model installed"), "select instance_id as text_id, 'INJ_ML' as rule_id, 'REVIEW' as severity, 'model' as source, 0 as line, '' as evidence, cast(null as double) as score, 'NOT RUN (no model installed)' as status from issues")
@@ -205,9 +210,9 @@ define("inj_ml_loader", lambda x: injection.not_run(x.issue_texts, "no model ins
 
 @query("inj_all_text")
 def _all_text(x):
-    """Pattern findings of issues and those model findings that stand on other lines."""
-    found = injection.scan_texts(x.issue_texts).drop("ord")
-    model = injection.ml_texts(x.issue_texts, 0.9).unionByName(injection.not_run(x.issue_texts.filter("text_id % 50 = 0"), "disabled"))
+    """Pattern findings of texts and those model findings that stand on other lines."""
+    found = injection.scan_texts(x.texts).drop("ord")
+    model = injection.ml_texts(x.texts, 0.9).unionByName(injection.not_run(x.texts, "disabled"))
     return injection.combine(found, model, ["text_id", "line"])
 
 

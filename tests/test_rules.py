@@ -208,3 +208,16 @@ def test_features(spark, line, path, want):
 def test_no_issue_gives_zero_features(spark):
     row = features(spark, "x = 1", issue="").asDict()
     assert row["any_named_untouched"] == 0.0 and row["scope_creep_count"] == 0.0 and row["literal_hardcoding_count"] == 0.0
+
+
+def test_text_queries_read_every_document(spark):
+    from diffloom.plans.queries import REGISTRY
+
+    sf = "/root/testdata/sf0.001"
+    ids = sorted(r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
+    assert sorted(r.text_id for r in REGISTRY["txt_normalize"](spark, sf).collect()) == ids
+    assert {r.text_id for r in REGISTRY["inj_ml_chunks"](spark, sf).collect()} == set(ids)
+    rows = REGISTRY["inj_all_text"](spark, sf).collect()
+    assert sorted(r.text_id for r in rows if r.status and "disabled" in r.status) == ids
+    assert {(r.text_id, r.rule_id, r.line) for r in REGISTRY["inj_scan_text"](spark, sf).collect()} == {(r.text_id, r.rule_id, r.line) for r in rows if r.score is None and r.status is None}
+    assert any(r.text_id % 10 for r in rows if r.score is None and r.status is None)
