@@ -65,6 +65,13 @@ class Inputs:
     def findings(self) -> DataFrame:
         return self._once("findings", lambda: verdict.all_findings(self.security, self.injection))
 
+    @property
+    def audited(self) -> DataFrame:
+        """All three layers: security, injection in the patch's issue, injection in its comments."""
+        on_issue = injection.scan_texts(self.issue_texts).join(self.patches.select("patch_id", F.col("instance_id").alias("text_id")), "text_id")
+        on_issue = on_issue.select("patch_id", "rule_id", "severity", F.lit(None).cast("string").alias("file"), "line", "evidence", (F.col("ord") - F.lit(1 << 40)).alias("ord"))
+        return self._once("audited", lambda: verdict.all_findings(self.security, on_issue.unionByName(self.injection.drop("source"))))
+
     @property
     def issue_texts(self) -> DataFrame:
         return self.issues.select(F.col("instance_id").alias("text_id"), F.col("problem_statement").alias("text"))
@@ -254,5 +261,5 @@ define(
     case when high then 2 when inj or med then 1 else 0 end as exit_code from patches p left join (select patch_id, bool_or(rule_id like 'INJ%') as inj, bool_or(rule_id not like 'INJ%' and upper(severity) in ('HIGH', 'CRITICAL')) as high,
     bool_or(rule_id not like 'INJ%' and upper(severity) = 'MEDIUM') as med, bool_or(rule_id not like 'INJ%' and upper(severity) in ('LOW', 'REVIEW')) as low from findings group by 1) f on f.patch_id = p.patch_id""",
 )
-define("sink_audit_json", lambda x: verdict.audit_json(x.findings, x.patches))
+define("sink_audit_json", lambda x: verdict.audit_json(x.audited, x.patches))
 define("sink_audit_text", lambda x: six(verdict.deduplicate(x.findings)).withColumn("evidence", F.substring("evidence", 1, 120)), f"select patch_id, rule_id, severity, file, line, substr(evidence, 1, 120) as evidence from (select *, row_number() over (partition by patch_id, rule_id, file, line, evidence order by layer, ord, severity) as n from findings) where n = 1")

@@ -221,3 +221,19 @@ def test_text_queries_read_every_document(spark):
     assert sorted(r.text_id for r in rows if r.status and "disabled" in r.status) == ids
     assert {(r.text_id, r.rule_id, r.line) for r in REGISTRY["inj_scan_text"](spark, sf).collect()} == {(r.text_id, r.rule_id, r.line) for r in rows if r.score is None and r.status is None}
     assert any(r.text_id % 10 for r in rows if r.score is None and r.status is None)
+
+
+def test_audit_records_hold_the_issue_layer(spark):
+    from diffloom.plans.queries import REGISTRY, Inputs
+
+    sf = "/root/testdata/sf0.001"
+    issues = {r.text_id: [] for r in Inputs(spark, sf).issue_texts.select("text_id").collect()}
+    for r in injection.scan_texts(Inputs(spark, sf).issue_texts).orderBy("ord").collect():
+        issues[r.text_id].append((r.rule_id, None, r.line, r.evidence))
+    assert any(issues.values())
+    for r in REGISTRY["sink_audit_json"](spark, sf).collect():
+        record = json.loads(r.payload)
+        mine = [(f["rule_id"], f.get("file"), f["line"], f["evidence"]) for f in record["findings"] if f["rule_id"].startswith("INJ")]
+        want = list(dict.fromkeys(issues[r.patch_id // 10]))
+        assert mine[: len(want)] == want  # before the findings of comments
+        assert not want or (record["exit_code"] >= 1 and verdict.INJECTED in record["verdict"])
