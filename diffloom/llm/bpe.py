@@ -1,10 +1,15 @@
 """Byte-level BPE encoding and decoding with the tiktoken library.
 
 Ranks come from a local file.  Texts longer than `piece_chars` are first cut at
-safe boundaries: before a single space between two ASCII letters or digits (or
-after '.' or ','), where the split pattern always begins a new match, so the
-ids are those of the whole text.  A stretch without such a boundary stays
-whole.  Ids decode to raw bytes.
+safe boundaries, where the split pattern always begins a new match, so the ids
+are those of the whole text: where a run of white space begins (no match goes
+from other characters into white space), and before a punctuation mark after a
+letter or digit of a large script (no match goes from letters or digits into
+marks).  A run of RUN_CHARS white-space characters and more, on which the
+library's matcher would exhaust its stack, is matched here by its known rule:
+all of it at the end of the text, all but its last character before something
+else; the match then goes through the library's merges.  A stretch without
+such a boundary stays whole.  Ids decode to raw bytes.
 
 Null texts count as empty: no ids, and the hashes of no bytes.  Repeated rows
 each give a row; other columns are not read.
@@ -23,8 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAFE = re.compile(r"(?<=[A-Za-z0-9.,]) (?=[A-Za-z0-9])")
-PIECE_CHARS = 1 << 16
+#: White space as the split pattern knows it.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+LETTER = "A-Za-z0-9\\u00c0-\\u00d6\\u00d8-\\u00f6\\u0400-\\u0481\\u05d0-\\u05ea\\u0620-\\u063f\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3"
+MARK = "!-&(-/:-@\\[-`{-~\\u3001\\u3002\\uff01\\uff0c\\uff1a\\uff1b\\uff1f"
+SAFE = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])|(?<=[{LETTER}])(?=[{MARK}])")
+PIECE_CHARS, RUN_CHARS = 1 << 16, 1 << 12
+RUN = re.compile(f"[{WHITE}]{{{RUN_CHARS},}}")
 
 
 @functools.lru_cache(maxsize=4)
@@ -53,12 +63,23 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[lo:] if lo else text
 
 
+def _encode_piece(enc, text: str) -> list[int]:
+    """Ids of a piece whose long white-space runs are matched here."""
+    out, at = [], 0
+    for run in RUN.finditer(text):
+        if run.start() > at:
+            out += enc.encode_ordinary(text[at : run.start()])
+        at = run.end() if run.end() == len(text) else run.end() - 1
+        out += enc._encode_single_piece(text[run.start() : at])
+    return out + enc.encode_ordinary(text[at:]) if at < len(text) else out
+
+
 def encode(enc, text: str | None, size: int = PIECE_CHARS) -> list[int]:
     if not text:
         return []
-    if len(text) <= size:
+    if len(text) <= min(size, PIECE_CHARS):
         return enc.encode_ordinary(text)
-    return [i for part in pieces(text, size) for i in enc.encode_ordinary(part)]
+    return [i for part in pieces(text, size) for i in _encode_piece(enc, part)]
 
 
 def decode(enc, ids: list[int]) -> bytes:

@@ -13,16 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 19
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -33,16 +30,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+LONG = 128  # bytes from which a word is hashed or compared on its own
+_U = np.uint64
+_KEYS = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros after the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
 
+def _chunk(eights: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes at each place, or the `left` ones where a word ends before."""
+    got = eights[at].astype(np.uint64)
+    keep = _U(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(left, 8)).astype(np.uint64) * _U(8))
+    return got & keep
 
-def _grow_powers(n: int) -> None:
-    while len(_powers[0]) <= n:
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            have = _powers[k]
-            step = np.uint64(pow(base, len(have), 1 << 64))
-            _powers[k] = np.concatenate([have, have * step])
+
+def hash_words(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of data; different keys give independent ones.
+
+    Spans are taken eight bytes a step, each step a bijective mix of what came
+    before with the next bytes; long ones go through xxHash.
+    """
+    one, two = _KEYS[2 * key], _KEYS[2 * key + 1]
+    h = mix(size.astype(np.uint64) * two + one)
+    eights = _eights(data)
+    rows, k = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(rows):
+        h[rows] = mix((h[rows] ^ _chunk(eights, start[rows] + k, size[rows] - k)) + two)
+        k += 8
+        rows = rows[size[rows] > k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + size[i]].tobytes(), int(one))
+    return h
+
+
+def same_words(a: np.ndarray, a_start: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether the spans of a and b hold the same bytes, pair by pair."""
+    same = a_size == b_size
+    left, right = _eights(a), _eights(b)
+    rows, k = np.flatnonzero(same & (a_size > 0) & (a_size <= LONG)), 0
+    while len(rows):
+        n = a_size[rows] - k
+        same[rows] = _chunk(left, a_start[rows] + k, n) == _chunk(right, b_start[rows] + k, n)
+        k += 8
+        rows = rows[same[rows] & (a_size[rows] > k)]
+    for i in np.flatnonzero(same & (a_size > LONG)).tolist():
+        same[i] = bool((a[a_start[i] : a_start[i] + a_size[i]] == b[b_start[i] : b_start[i] + b_size[i]]).all())
+    return same
 
 
 @dataclass
@@ -60,13 +97,14 @@ class Slice:
     def first_word(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.counts)])
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        _grow_powers(len(self.data) + 1)
-        part = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * _powers[0][: len(self.data)], out=part[1:])
-        raw = (part[self.end] - part[self.start]) * _powers[1][self.start]
-        return mix(raw + (self.end - self.start).astype(np.uint64))
+    def hashes(self, key: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; independent ones for different keys."""
+        return hash_words(self.data, self.start, self.end - self.start, key)
+
+    def differing(self, at: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Words that aren't the word their hash stands for: at[back[i]] for word i."""
+        size, of = self.end - self.start, at[back]
+        return np.flatnonzero(~same_words(self.data, self.start, size, self.data, self.start[of], size[of]))
 
     def text(self, i: int) -> str:
         return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")

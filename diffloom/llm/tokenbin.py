@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shared_dir
-from .textscan import scan
+from .textscan import same_words, scan
 
 #: (values in a word, bits of each), by selector; selector 15 is the escape.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -123,26 +124,36 @@ def unpack(payload: bytes, escapes=(), first_word: int = 0, last_word: int | Non
     return out
 
 
+def unpack_blocks(payload: bytes, escapes, offsets) -> Iterator[np.ndarray]:
+    """The ids of each block in turn; a block's words are all that is decoded at a time."""
+    for lo, hi in zip(offsets, [*offsets[1:], len(payload) // 8]):
+        yield unpack(payload, escapes, lo, hi)
+
+
 class WordEncoder:
     """Ids of whole texts from a tokenizer that drops white space and never joins text across it.
 
     Such a tokenizer gives the text's ids as the ids of its white-space words
     in order, so each distinct word goes through the library once; a bounded
-    table keeps the words seen so far.
+    table keeps the words seen so far, with their bytes, which every hit is
+    compared with.  Texts that may hold one of the tokenizer's added tokens
+    (their first two characters stand in it), or two different words of one
+    hash, go through the library whole.
     """
 
     def __init__(self, tokenizer, keep: int = 2_000_000):
         self.tokenizer, self.keep = tokenizer, keep
         pieces = tokenizer.get_vocab(with_added_tokens=False)
+        self.marks = sorted({t.content[:2] for t in tokenizer.get_added_tokens_decoder().values()})
         self.ends = np.zeros(max(pieces.values()) + 1, bool)
         self.ends[[i for t, i in pieces.items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
         self.key = np.zeros(0, np.uint64)
-        self.first = np.zeros(0, np.int32)
-        self.size = np.zeros(0, np.int32)
+        self.first, self.size, self.at, self.length = (np.zeros(0, np.int64) for _ in range(4))
         self.ids = np.zeros(0, np.uint32)
+        self.bytes = np.zeros(0, np.uint8)
 
     def _rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and how many each has."""
@@ -158,28 +169,35 @@ class WordEncoder:
             return self._rows(words)
         return flat, np.diff(np.concatenate([[0], edge]))
 
-    def _learn(self, key: np.ndarray, words: list[str]) -> None:
-        """key: sorted new keys, words: their texts in that order."""
-        plain = np.fromiter((w.isalpha() for w in words), bool, len(words))
-        size, first = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    def _learn(self, key: np.ndarray, words: list[bytes]) -> None:
+        """key: sorted new keys, words: their bytes in that order."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = np.fromiter((w.isalpha() for w in texts), bool, len(texts))
+        size, first = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         known, new = len(self.ids), [self.ids]
         for rows, make in ((np.flatnonzero(plain), self._letters), (np.flatnonzero(~plain), self._rows)):
             for lo in range(0, len(rows), 4096):
                 some = rows[lo : lo + 4096]
-                flat, n = make([words[i] for i in some])
+                flat, n = make([texts[i] for i in some])
                 size[some], first[some] = n, known + np.cumsum(n) - n
                 new.append(flat)
                 known += len(flat)
         self.ids = np.concatenate(new)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        at = len(self.bytes) + np.cumsum(length) - length
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(words), np.uint8)])
         spot = np.searchsorted(self.key, key)
         self.key = np.insert(self.key, spot, key)
-        self.first = np.insert(self.first, spot, first.astype(np.int32))
-        self.size = np.insert(self.size, spot, size.astype(np.int32))
+        self.first, self.size = np.insert(self.first, spot, first), np.insert(self.size, spot, size)
+        self.at, self.length = np.insert(self.at, spot, at), np.insert(self.length, spot, length)
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, ids of each row) for runs of rows."""
+        marked = np.zeros(len(column), bool)
+        for mark in self.marks:
+            marked |= pc.fill_null(pc.match_substring(column, mark), False).to_numpy(zero_copy_only=False)
         for part in scan(column, lower=False, limit=1 << 21):
-            h = part.hashes()
+            h, length = part.hashes(), part.end - part.start
             key, at, back = np.unique(h, return_index=True, return_inverse=True)
             spot = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
             missing = self.key[spot] != key if len(self.key) else np.ones(len(key), bool)
@@ -188,12 +206,21 @@ class WordEncoder:
                 if full:  # the table starts anew, with this run's words
                     self._reset()
                     missing[:] = True
-                self._learn(key[missing], [part.text(i) for i in at[missing]])
+                self._learn(key[missing], [part.data[part.start[i] : part.end[i]].tobytes() for i in at[missing].tolist()])
                 spot = np.searchsorted(self.key, key)
-            first, size = self.first[spot][back].astype(np.int64), self.size[spot][back].astype(np.int64)
+            of = spot[back]
+            first, size = self.first[of], self.size[of]
             total = np.cumsum(size)
             ids = self.ids[np.repeat(first - (total - size), size) + np.arange(int(total[-1]) if len(total) else 0)]
             edge = np.concatenate([[0], total])[part.first_word()]
+            other = np.flatnonzero(~same_words(part.data, part.start, length, self.bytes, self.at[of], self.length[of]))
+            whole = marked[part.lo : part.hi].copy()
+            whole[np.searchsorted(part.first_word(), other, "right") - 1] = True
+            if whole.any():
+                rows = [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+                for i in np.flatnonzero(whole).tolist():
+                    rows[i] = self._rows([column[part.lo + i].as_py() or ""])[0]
+                ids, edge = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
             yield ids, np.diff(edge)
 
 
@@ -201,9 +228,7 @@ class WordEncoder:
 def word_encoder(path: str) -> WordEncoder:
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return WordEncoder(tokenizer)
+    return WordEncoder(Tokenizer.from_file(path))
 
 
 _SCHEMA = "shard int, segment int, shard_start long, n_ids long, doc_ids array<long>, doc_lens array<long>, block_offsets array<int>, escapes array<long>, payload binary"
@@ -214,7 +239,8 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 1, id_
     """Tokenize whole texts, append end_id to each document and write the files in ascending id order.
 
     Null texts are empty and hold only end_id.  Rows of one id stay together,
-    ordered by text.
+    ordered by text.  The ids are the library's with add_special_tokens=False:
+    an added token that stands in a text counts as the one id the library gives.
     """
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
 
@@ -268,7 +294,7 @@ def read_token_files(spark, out: str, keep_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = unpack(row["payload"], row["escapes"])
+                ids = np.concatenate([np.zeros(0, np.uint64), *unpack_blocks(row["payload"], row["escapes"], row["block_offsets"])])
                 lens = np.array(row["doc_lens"], np.int64)
                 edge = np.concatenate([[0], np.cumsum(lens)])
                 raw = memoryview(ids.astype("<u4").tobytes())
@@ -281,7 +307,7 @@ def read_token_files(spark, out: str, keep_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", token_ids array<long>" if keep_ids else "")
-    return files.join(base, "shard").select("doc_ids", "doc_lens", "escapes", "payload", "shard_start", "base").mapInArrow(run, schema)
+    return files.join(base, "shard").select("doc_ids", "doc_lens", "block_offsets", "escapes", "payload", "shard_start", "base").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, out: str | None = None, **options) -> DataFrame:

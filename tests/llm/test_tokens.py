@@ -26,6 +26,18 @@ def test_safe_cuts_give_the_whole_text_s_ids():
         assert bpe.decode(enc, bpe.encode(enc, text, 40)) == text.encode()
 
 
+def test_long_runs_encode_and_decode():
+    enc = bpe.encoding(RANKS, P.PATTERN)
+    runs = [" " * 9000, "\n" * 5000 + " " * 5000, "日本語の文章" * 12_000, "привет" * 12_000, "a\u2003" * 30_000, "x、y。" * 30_000, "!?" * 40_000, "é's" * 30_000, "\x1c \x1d" * 20_000]
+    for run in runs:
+        for text in (run, f"a{run}", f"{run}b", f"a {run} b", f"{run}{run[:7]}.", f"1{run}'s"):
+            assert bpe.encode(enc, text) == enc.encode_ordinary(text)
+    for text in (" " * 5_000_000 + "x", "x" + "\n" * 5_000_000, "\u3000\t " * 1_000_000, "日本" * 1_000_000, "д" * 2_000_000):
+        ids = bpe.encode(enc, text)
+        assert bpe.decode(enc, ids) == text.encode()
+    assert bpe.encode(enc, " " * 500_000 + "x y") == enc.encode_ordinary(" " * 500_000 + "x y")
+
+
 def test_byte_bpe_rows(spark, docs_of, odd_rows, no_rows):
     import tiktoken
 
@@ -64,8 +76,10 @@ def test_word_encoder_equals_the_library():
     import pyarrow as pa
 
     whole = Tokenizer.from_file(WORDS)
-    whole.encode_special_tokens = True
-    texts = sample() + ["İstanbul DŽ ǆ", "é é ẛ̣", "a b c", "", "\tx"]
+    a = "a"
+    for _ in range(11):  # two words that any polynomial hash modulo 2**64 takes for one
+        a += a.translate({97: 98, 98: 97})
+    texts = sample() + ["see <|endoftext|> here", "a<|startoftext|>b", "<|ENDOFTEXT|> <|", f"{a} x", f"{a.translate({97: 98, 98: 97})} x {a}", "İstanbul DŽ ǆ", "é é ẛ̣", "a b c", "", "\tx"]
     encoder = tokenbin.WordEncoder(whole, keep=50)
     got = [part for ids, sizes in encoder.encode(pa.array(texts)) for part in np.split(ids, np.cumsum(sizes)[:-1])]
     assert [list(g) for g in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
@@ -75,7 +89,6 @@ def test_token_files(spark, docs_of, odd_rows, no_rows, tmp_path):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(WORDS)
-    whole.encode_special_tokens = True
     texts = sample(200)
     random.Random(2).shuffle(texts)
     rows = [(i * 3, t) for i, t in enumerate(texts)]
@@ -93,6 +106,32 @@ def test_token_files(spark, docs_of, odd_rows, no_rows, tmp_path):
     assert kept.token_ids[-1] == 1
 
 
+def test_equal_hashes_go_through_the_library(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from diffloom.llm import textscan
+
+    monkeypatch.setattr(textscan, "hash_words", lambda data, start, size, key=0: (size % 3).astype(np.uint64))
+    whole, texts = Tokenizer.from_file(WORDS), sample()
+    got = [part for ids, sizes in tokenbin.WordEncoder(whole).encode(pa.array(texts)) for part in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert [list(g) for g in got] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_block_decodes_alone(spark, docs_of, tmp_path):
+    tokenbin.write_token_files(docs_of([(i, t) for i, t in enumerate(sample(400))]).coalesce(1), WORDS, str(tmp_path / "f"))
+    whole = tokenbin.read_token_files(spark, str(tmp_path / "f"), keep_ids=True).orderBy("start").collect()
+    ids, n = [i for r in whole for i in r.token_ids], 0
+    for row in spark.read.parquet(str(tmp_path / "f")).orderBy("shard", "segment").collect():
+        ends = [*row.block_offsets[1:], len(row.payload) // 8]
+        for k in reversed(range(len(ends))):  # in any order
+            at = n + k * tokenbin.BLOCK
+            got = tokenbin.unpack(bytes(row.payload), row.escapes, row.block_offsets[k], ends[k])
+            assert got.tolist() == ids[at : min(at + tokenbin.BLOCK, n + row.n_ids)]
+        n += row.n_ids
+    assert n == len(ids) > 2 * tokenbin.BLOCK
+
+
 @pytest.mark.parametrize("value", [2**60, 2**62, 2**64 - 1])
 def test_escapes(value):
     payload, _, escapes = tokenbin.pack(np.array([1, value, 2], np.uint64))
