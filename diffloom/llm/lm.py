@@ -1,19 +1,23 @@
 """Subword-lattice language model: marginal document probability over all segmentations.
 
-The pieces are those of an existing SentencePiece vocabulary; its scores give
-the starting weights (a piece of rank r weighs 1 / (r + 10), byte pieces come
-after all others), one expectation step over the words of the training rows
-re-estimates them.  A word with its leading space is a lattice over bytes: an
+The pieces are those of an existing SentencePiece vocabulary with its scores (a
+piece of rank r weighs 1 / (r + 10), byte pieces come after all others).  They
+are re-estimated by expectation steps over the words of the training rows: at
+most `steps` of them, ended early when a tenth of the training words' uses,
+set aside for that, gains less than 0.2 % of its log probability.  The final
+weights keep the vocabulary's own with the share `vocabulary_share`, whatever
+the size of the corpus.  A word with its leading space is a lattice over bytes: an
 edge for each piece that matches and one for each single byte.  The forward
 recursion in log space adds up all segmentations.  No piece crosses a space, so
-a text's probability is the product over its words and one end.  Words of more
-than MAX_BYTES bytes are cut every MAX_BYTES bytes and no piece crosses a cut.
+a text's probability is the product over its words and one end.  Words of any
+length are scored whole: those of BATCH_BYTES bytes and more one by one, with
+the edges found block by block, the others together by length.
 
 Beside the model's score stands a smoothed word-unigram base score from the
 same training rows.  The word table grows with the corpus and is never
 broadcast: the HEAD most frequent words (a fixed bound) travel with the code,
-all other words meet the table in a shuffle join.  Words are told apart by
-64-bit hashes in that join.
+all other words meet the table in a shuffle join.  Words are told apart by two
+independent 64-bit hashes.
 
 Null text counts as empty: only the end is scored.  Null ids are never held
 out.  Repeated rows count and are scored each.  An empty table gives no rows.
@@ -22,6 +26,7 @@ out.  Repeated rows count and are scored each.  An empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +38,8 @@ from .common import cut, held_out
 from .textscan import mix, scan
 
 HEAD = 1 << 18
-MAX_BYTES = 2048
+BATCH_BYTES, BLOCK = 2048, 1 << 15
+STEPS, VOCABULARY_SHARE = 3, 0.05
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _U = np.uint64
 _SLOTS = 1 << 20
@@ -113,35 +119,92 @@ class Lattice:
             beta[:, i] = top + np.log(np.exp(t - top).sum(0))
         return beta
 
+    def _edges_of(self, word: np.ndarray) -> Iterator[tuple[int, list[list[int]]]]:
+        """(first place, for each length the piece ids starting there and after) of one long word, block by block."""
+        for lo in range(0, len(word), BLOCK):
+            part = word[None, lo : lo + BLOCK + self.longest - 1]
+            places = min(BLOCK, len(word) - lo)
+            yield lo, [e[0, :places].tolist() for e in self.edges(part)]
+
+    def sweep(self, word: np.ndarray) -> np.ndarray:
+        """alpha of one long word: log probability of its first j bytes over all segmentations.
+
+        Places pass on what has reached them, so only matching edges are touched.
+        """
+        n, logp, exp, log = len(word), self.logp.tolist(), math.exp, math.log
+        alpha = np.empty(n + 1)
+        reach: list[list[float]] = [[] for _ in range(self.longest + 1)]  # what arrives at the next places
+        reach[0].append(0.0)
+        for lo, edges in self._edges_of(word):
+            for i in range(len(edges[0])):
+                terms = reach.pop(0)
+                reach.append([])
+                top = max(terms)
+                here = top + log(sum([exp(t - top) for t in terms])) if len(terms) > 1 else top
+                alpha[lo + i] = here
+                for k, ids in enumerate(edges):
+                    if i < len(ids) and ids[i] >= 0:
+                        reach[k].append(here + logp[ids[i]])
+        top = max(reach[0])
+        alpha[n] = top + log(sum(exp(t - top) for t in reach[0]))
+        return alpha
+
+    def _uses_of(self, word: np.ndarray) -> tuple[np.ndarray, float]:
+        """Expected uses of each piece in one long word, and its log probability."""
+        alpha, out, exp, logp = self.sweep(word), np.zeros(len(self.pieces)), math.exp, self.logp.tolist()
+        total, n = float(alpha[-1]), len(word)
+        beta = [0.0] * self.longest  # beta of the places after the present one
+        beta[1:] = [-math.inf] * (self.longest - 1)
+        for lo in reversed(range(0, n, BLOCK)):
+            places = min(BLOCK, n - lo)
+            ids = [e[0].tolist() for e in self.edges(word[None, lo : lo + BLOCK + self.longest - 1])]
+            for i in range(places - 1, -1, -1):
+                terms = []
+                for k, at in enumerate(ids):
+                    if i < len(at) and at[i] >= 0 and beta[k] > -math.inf:
+                        t = beta[k] + logp[at[i]]
+                        terms.append(t)
+                        out[at[i]] += exp(alpha[lo + i] + t - total)
+                top = max(terms)
+                beta.insert(0, top + math.log(sum([exp(t - top) for t in terms])))
+                beta.pop()
+        return out, total
+
     def score(self, words: pa.Array) -> np.ndarray:
         """Log probability (natural) of each word, all segmentations added up."""
         out = np.zeros(len(words))
         for rows, block in blocks(words):
-            np.add.at(out, rows, self.forward(self.edges(block), block.shape[1])[:, -1])
+            out[rows] = self.sweep(block[0])[-1] if block.shape[1] > BATCH_BYTES else self.forward(self.edges(block), block.shape[1])[:, -1]
         return out
 
-    def expected(self, words: pa.Array, counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece when each word occurs `counts` times."""
-        out = np.zeros(len(self.pieces))
+    def expected(self, words: pa.Array, *counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Expected uses of each piece when each word occurs `counts` times, for each of the counts, and the words' log probabilities."""
+        out, total = [np.zeros(len(self.pieces)) for _ in counts], np.zeros(len(words))
         for rows, block in blocks(words):
+            if block.shape[1] > BATCH_BYTES:
+                uses, total[rows] = self._uses_of(block[0])
+                for o, c in zip(out, counts):
+                    o += uses * c[rows[0]]
+                continue
             edges, length = self.edges(block), block.shape[1]
             alpha, beta = self.forward(edges, length), self.backward(edges, length)
-            weight = counts[rows]
+            total[rows] = alpha[:, -1]
             for n, ids in enumerate(edges, 1):
-                places = length - n + 1
-                p = np.exp(alpha[:, :places] + self.logp[ids] + beta[:, n:] - alpha[:, -1:]) * weight[:, None]
-                hit = ids >= 0
-                out += np.bincount(ids[hit], p[hit], len(out))
-        return out
+                row, at = np.nonzero(ids >= 0)
+                hit = ids[row, at]
+                p = np.exp(alpha[row, at] + self.logp[hit] + beta[row, at + n] - alpha[row, -1])
+                for o, c in zip(out, counts):
+                    o += np.bincount(hit, p * c[rows][row], len(o))
+        return out, total
 
 
 def blocks(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row numbers, bytes) of the words with their leading space, grouped by length, long ones cut."""
+    """(row numbers, bytes) of the words with their leading space, grouped by length; those of BATCH_BYTES bytes and more alone."""
     from .textscan import buffers
 
     data, offsets = buffers(words)
     size = np.diff(offsets)
-    for length in np.unique(size[size < MAX_BYTES]).tolist():
+    for length in np.unique(size[size < BATCH_BYTES]).tolist():
         rows = np.flatnonzero(size == length)
         step = max(1, 40_000 // (length + 1))
         for lo in range(0, len(rows), step):
@@ -149,10 +212,8 @@ def blocks(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             block = np.full((len(some), length + 1), 0x20, np.uint8)
             block[:, 1:] = data[offsets[some][:, None] + np.arange(length)]
             yield some, block
-    for row in np.flatnonzero(size >= MAX_BYTES):
-        whole = np.concatenate([[np.uint8(0x20)], data[offsets[row] : offsets[row + 1]]])
-        for lo in range(0, len(whole), MAX_BYTES):
-            yield np.array([row]), whole[None, lo : lo + MAX_BYTES]
+    for row in np.flatnonzero(size >= BATCH_BYTES):
+        yield np.array([row]), np.concatenate([[np.uint8(0x20)], data[offsets[row] : offsets[row + 1]]])[None]
 
 
 @functools.lru_cache(maxsize=2)
@@ -174,63 +235,81 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
 
 
 def word_table(docs: DataFrame, folds: int, fold: int) -> DataFrame:
-    """(h, word, c, seen): every distinct word of the corpus with its training and total counts."""
+    """(h, g, word, c, dev, seen): every distinct word of the corpus with its training count, the part of it set aside, and its count in all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            keys, taught, seen, flats, sizes = [], [], [], [], []
+            train, aside = (batch.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in (1, 2))
+            keys, others, counts, flats, sizes = [], [], [], [], []
             for part in scan(batch.column(0), limit=1 << 21):
-                h = part.hashes()
-                key, at, back = np.unique(h, return_index=True, return_inverse=True)
-                keys.append(key)
-                seen.append(np.bincount(back, minlength=len(key)))
-                use = np.repeat(train[part.lo : part.hi], part.counts)
-                taught.append(np.bincount(back, use, len(key)).astype(np.int64))
+                h, g = part.hashes(), part.hashes(1)
+                key, at, back = np.unique(h ^ mix(g), return_index=True, return_inverse=True)
+                use = [np.repeat(flags[part.lo : part.hi], part.counts) for flags in (train, aside)]
+                counts.append(np.stack([np.bincount(back, u, len(key)).astype(np.int64) for u in use] + [np.bincount(back, minlength=len(key))]))
+                keys.append(h[at])
+                others.append(g[at])
                 start, size = part.start[at], (part.end - part.start)[at]
                 total = np.cumsum(size)
                 flats.append(part.data[np.repeat(start - (total - size), size) + np.arange(total[-1] if len(total) else 0)])
                 sizes.append(size)
             if not keys or not sum(map(len, keys)):
                 continue
-            key, size = np.concatenate(keys), np.concatenate(sizes)
+            h, g, size, flat = (np.concatenate(x) for x in (keys, others, sizes, flats))
             start = np.cumsum(size) - size
-            flat = np.concatenate(flats)
-            unique, at, back = np.unique(key, return_index=True, return_inverse=True)
-            c = np.bincount(back, np.concatenate(taught)).astype(np.int64)
-            n = np.bincount(back, np.concatenate(seen)).astype(np.int64)
+            _, at, back = np.unique(h ^ mix(g), return_index=True, return_inverse=True)
+            sums = [np.bincount(back, c).astype(np.int64) for c in np.concatenate(counts, axis=1)]
             start, size = start[at], size[at]
             total = np.cumsum(size)
             text = flat[np.repeat(start - (total - size), size) + np.arange(total[-1])]
-            offsets = np.concatenate([[0], total]).astype(np.int32)
-            words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
-            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), words, pa.array(c), pa.array(n)], ["h", "word", "c", "seen"])
-
-    rows = docs.select("text", (~held_out("id", folds, fold)).alias("train"))
-    words = rows.mapInArrow(run, "h long, word binary, c long, seen long")
-    return words.groupBy("h", "word").agg(F.sum("c").alias("c"), F.sum("seen").alias("seen"))
+            offsets = np.concatenate([[0], total]).astype(np.int64)
+            words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(text)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(g[at].view(np.int64)), words, *map(pa.array, sums)], ["h", "g", "word", "c", "dev", "seen"])
 
+    learned = ~held_out("id", folds, fold)
+    aside = F.pmod(F.xxhash64(F.lit("aside"), F.col("id").cast("string"), "text"), F.lit(10)) == 0
+    rows = docs.select("text", learned.alias("train"), (learned & aside).alias("aside"))
+    words = rows.mapInArrow(run, "h long, g long, word binary, c long, dev long, seen long")
+    return words.groupBy("h", "g", "word").agg(F.sum("c").alias("c"), F.sum("dev").alias("dev"), F.sum("seen").alias("seen"))
 
-def train(words: DataFrame, ends: int, path: str) -> tuple[Lattice, float]:
-    """Re-estimated lattice and the end's log probability; one expectation step over the word table."""
-    pieces, start = vocabulary(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total = Lattice(*vocabulary(path)), None
-        for batch in batches:
-            c = batch.column(1).to_numpy().astype(float)
-            got = lattice.expected(batch.column(0), c)
-            total = got if total is None else total + got
-        if total is not None:
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "uses"])
+def train(words: DataFrame, ends: int, path: str, steps: int = STEPS, vocabulary_share: float = VOCABULARY_SHARE) -> tuple[Lattice, float, list[float]]:
+    """Re-estimated lattice, the end's log probability, and the log probability (natural) of the words set aside before each step.
 
-    uses = words.filter("c > 0").select("word", "c").mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
-    total = 0.1 * len(pieces) * np.exp(start)  # the vocabulary's own weights as a faint prior
-    for row in uses.collect():  # at most one row for each piece
-        total[row["piece"]] += row["uses"]
-    everything = total.sum() + ends + 0.1
-    return Lattice(pieces, np.log(total / everything)), float(np.log((ends + 0.1) / everything))
+    A step is one pass over the word table; what reaches the driver is one row for each piece at most.
+    """
+    pieces, start = vocabulary(path)
+    base, logp, final, uses, seen = np.exp(start), start, start, np.zeros(len(pieces)), []
+    for _ in range(steps):
+
+        def run(batches: Iterator[pa.RecordBatch], logp=logp) -> Iterator[pa.RecordBatch]:
+            lattice, all_uses, part_uses, gain = Lattice(vocabulary(path)[0], logp), 0.0, 0.0, 0.0
+            for batch in batches:
+                c, dev = (batch.column(k).to_numpy().astype(float) for k in (1, 2))
+                (every, part), total = lattice.expected(batch.column(0), c, c - dev)
+                all_uses, part_uses, gain = all_uses + every, part_uses + part, gain + float((total * dev).sum())
+            if isinstance(all_uses, np.ndarray):
+                used = np.flatnonzero(all_uses)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(all_uses[used], gain)), pa.array(np.append(part_uses[used], 0.0))], ["piece", "uses", "part"])
+
+        got = words.filter("c > 0").select("word", "c", "dev").mapInArrow(run, "piece int, uses double, part double").groupBy("piece").agg(F.sum("uses").alias("uses"), F.sum("part").alias("part")).collect()
+        uses, part = np.zeros(len(pieces)), np.zeros(len(pieces))
+        gain = 0.0
+        for row in got:
+            if row["piece"] < 0:
+                gain = row["uses"]
+            else:
+                uses[row["piece"]], part[row["piece"]] = row["uses"], row["part"]
+        seen.append(gain)
+        if not uses.sum():
+            break
+        whole = lambda n: (1 - vocabulary_share) * n / max(n.sum(), 1e-300) + vocabulary_share * base
+        final = np.log(whole(uses))
+        if len(seen) > 1 and not seen[-1] > seen[-2] * 0.998:
+            break
+        logp = np.log(whole(part)) if part.sum() else final
+    tokens = float(uses.sum())
+    end = (ends + 0.1) / (tokens + ends + 0.1)
+    return Lattice(pieces, final + np.log(1 - end) if tokens else final), float(np.log(end)), seen
 
 
 def frequent(words: DataFrame, most: int) -> DataFrame:
@@ -253,18 +332,18 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     ends = rows.filter(~held_out("id", folds, fold)).count()
     sums = words.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
     n_train, distinct = (sums["n"] or 0) + ends, (sums["v"] or 0) + (ends > 0)
-    lattice, end_logp = train(words, ends, path)
+    lattice, end_logp, _ = train(words, ends, path)
     logp = lattice.logp
 
     def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Lattice(vocabulary(path)[0], logp)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(scorer.score(batch.column(1)) / np.log(10))], ["h", "c", "seen", "lp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(scorer.score(batch.column(2)) / np.log(10))], ["h", "g", "c", "seen", "lp"])
 
-    scored = cut(words.mapInArrow(score_words, "h long, c long, seen long, lp double"))
+    scored = cut(words.select("h", "g", "word", "c", "seen").mapInArrow(score_words, "h long, g long, c long, seen long, lp double"))
     top = frequent(scored, head).toArrow()
     order = np.argsort(top["h"].to_numpy())
-    head_h, head_c, head_lp = (top[k].to_numpy()[order] for k in ("h", "c", "lp"))
+    head_h, head_g, head_c, head_lp = (top[k].to_numpy()[order] for k in ("h", "g", "c", "lp"))
     floor = n_train + 0.5 * (distinct + 1)
     base_of = lambda c: np.log10((c + 0.5) / floor)
     head_base = base_of(head_c)
@@ -273,19 +352,19 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
         for batch in batches:
             at = 0
             for part in scan(batch.column(1)):
-                h, rows_n = part.hashes().view(np.int64), part.hi - part.lo
+                h, g, rows_n = part.hashes().view(np.int64), part.hashes(1).view(np.int64), part.hi - part.lo
                 row = np.repeat(np.arange(rows_n), part.counts)
                 spot = np.minimum(np.searchsorted(head_h, h), max(len(head_h) - 1, 0))
-                hit = head_h[spot] == h if len(head_h) else np.zeros(len(h), bool)
+                hit = (head_h[spot] == h) & (head_g[spot] == g) if len(head_h) else np.zeros(len(h), bool)
                 use, where = spot[hit], row[hit]
                 sums = [np.bincount(where, v, rows_n) if len(use) else np.zeros(rows_n) for v in (head_base[use], head_lp[use], head_c[use] > 0)]
-                rest, counts = h[~hit], np.bincount(row[~hit], minlength=rows_n)
-                tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(rest))
+                rest, counts = pa.StructArray.from_arrays([pa.array(h[~hit]), pa.array(g[~hit])], ["h", "g"]), np.bincount(row[~hit], minlength=rows_n)
+                tail = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), rest)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows_n), pa.array(part.counts.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), tail], ["id", "n", "known", "base", "lp", "tail"])
                 at += rows_n
 
-    split = cut(rows.mapInArrow(parts, f"id {kind}, n long, known long, base double, lp double, tail array<long>").withColumn("row", F.monotonically_increasing_id()))
-    looked = split.select("row", F.explode("tail").alias("h")).join(scored.select("h", "c", F.col("lp").alias("word_lp")), "h")
+    split = cut(rows.mapInArrow(parts, f"id {kind}, n long, known long, base double, lp double, tail array<struct<h:long,g:long>>").withColumn("row", F.monotonically_increasing_id()))
+    looked = split.select("row", F.inline("tail")).join(scored.select("h", "g", "c", F.col("lp").alias("word_lp")), ["h", "g"])
     looked = looked.select("row", F.lit(None).cast(kind).alias("id"), F.lit(0).cast("long").alias("n"), (F.col("c") > 0).cast("long").alias("known"), F.log10((F.col("c") + 0.5) / F.lit(float(floor))).alias("base"), F.col("word_lp").alias("lp"))
     whole = split.select("row", "id", "n", "known", "base", "lp").unionByName(looked)
     out = whole.groupBy("row").agg(F.max("id").alias("id"), *[F.sum(c).alias(c) for c in ("n", "known", "base", "lp")])

@@ -31,12 +31,36 @@ def test_forward_recursion_adds_up_all_segmentations():
     got = lattice.score(pa.array([w.encode() for w in words]))
     for w, s in zip(words, got):
         assert s == pytest.approx(math.log(all_segmentations(b" " + w.encode(), table)), abs=1e-9)
-    assert lattice.score(pa.array([b"ab" * 3000]))[0] < -1000
+
+
+def uncut(word, pieces, start):
+    """The forward recursion in plain Python, scaled at each place."""
+    table, longest = {p: math.exp(s) for p, s in zip(pieces, start)}, max(map(len, pieces))
+    reached, shift = [1.0], 0.0
+    for j in range(1, len(word) + 1):
+        here = sum(reached[-n] * table.get(word[j - n : j], 0.0) for n in range(1, min(longest, j) + 1))
+        shift += math.log(here)
+        reached = [r / here for r in reached[-longest:]] + [1.0]
+    return shift
+
+
+def test_long_words_are_scored_whole():
+    pieces, start = lm.vocabulary(PIECES)
+    lattice, rng = lm.Lattice(pieces, start), random.Random(9)
+    words = [b"th" * 1500, "日本語".encode() * 700, bytes(rng.choice(b"etaoin") for _ in range(200_000)), b"x" * 2047, b"x" * 2048]
+    got = lattice.score(pa.array(words))
+    for w, s in zip(words, got):
+        assert s == pytest.approx(uncut(b" " + w, pieces, start), rel=1e-9)
+    (uses,), total = lattice.expected(pa.array(words[:2]), np.array([2.0, 3.0]))
+    assert sum(u * len(p) for u, p in zip(uses, pieces)) == pytest.approx(2 * 3001 + 3 * 6301)
+    assert total == pytest.approx(got[:2])
+    block = np.frombuffer(b" " + words[0], np.uint8)[None]
+    assert lattice.forward(lattice.edges(block), 3001)[0] == pytest.approx(lattice.sweep(block[0]))
 
 
 def test_expected_uses_cover_every_byte():
     pieces, start = lm.vocabulary(PIECES)
-    uses = lm.Lattice(pieces, start).expected(pa.array([b"hello", b"the"]), np.array([2.0, 3.0]))
+    (uses,), _ = lm.Lattice(pieces, start).expected(pa.array([b"hello", b"the"]), np.array([2.0, 3.0]))
     assert sum(u * len(p) for u, p in zip(uses, pieces)) == pytest.approx(2 * 6 + 3 * 4)
 
 
