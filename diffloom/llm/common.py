@@ -16,11 +16,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where it is set.
 
-    Only where no folder is named (local tests) a temporary one is made.
+    Only a local master without one gets a temporary folder; on a cluster a
+    missing setting is an error, as each executor would write to its own disk.
     """
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="diffloom-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)

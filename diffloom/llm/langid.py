@@ -1,9 +1,12 @@
 """Hierarchical language identification: family first, then one-versus-one SVMs inside it.
 
 Training uses a bounded sample of labelled rows (`per_language` rows of each
-language at most on average, chosen by a hash of the id); features are hashed
-byte n-grams of the whole lower-cased text.  Families of known languages are
-fixed values; a language not listed is a family of its own.
+language at most on average and MOST_ROWS in all, at least 8 of each language,
+chosen by a hash of the id); every language of the training rows is learned.
+Features are hashed byte n-grams of the whole lower-cased text, made where the
+texts are; one task fits the model from them, and only the weights reach the
+driver.  Families of known languages are fixed values; a language not listed is
+a family of its own.
 
 Null text or text without a letter gives `und` with score 0.  Rows with null
 lang teach nothing but are predicted.  No labelled row at all: every text is
@@ -13,6 +16,7 @@ lang teach nothing but are predicted.  No labelled row at all: every text is
 from __future__ import annotations
 
 import itertools
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out
-from .linear import bounded_sample, decision, fit_platt, fit_svm, histogram, sigmoid
+from .linear import bounded_sample, decision, fit_platt, fit_svms, histogram, pack_rows, sigmoid, unpack_rows
 
 #: Language families.
 FAMILIES = {
@@ -40,7 +44,7 @@ FAMILIES = {
 }
 ORDERS = (1, 2, 3)
 SIZE = 1 << 13
-PER_LANGUAGE = 500
+PER_LANGUAGE, MOST_ROWS = 500, 6000
 
 
 def family_of(lang: str) -> str:
@@ -94,8 +98,8 @@ class Model:
         return lang, np.clip(score, 0, 1)
 
 
-def fit(texts: pa.Array, langs: list[str]) -> Model:
-    """Fit on the driver; the number of rows is bounded by the caller."""
+def fit(x: np.ndarray, langs: list[str]) -> Model:
+    """Fit to the histograms x of a bounded number of rows."""
     known = sorted(set(langs))
     members: dict[str, list[str]] = {}
     for lang in known:
@@ -104,33 +108,58 @@ def fit(texts: pa.Array, langs: list[str]) -> Model:
     model = Model(families, members)
     if len(known) < 2:
         return model
-    x, y = histogram(texts, ORDERS, SIZE).astype(np.float32), np.array(langs, object)
+    y = np.array(langs, object)
     fam = np.array([family_of(v) for v in langs], object)
-    columns = []
+    weights, bias = [], []
+
+    def add(rows, sides: np.ndarray) -> None:
+        some = x[rows]
+        w, b = fit_svms(some, sides)
+        margins = some @ w.astype(np.float32) + b
+        model.platt.extend(fit_platt(margins[:, k], sides[:, k]) for k in range(sides.shape[1]))
+        weights.append(w)
+        bias.append(b)
+
     if len(families) > 1:
-        columns += [(np.arange(len(y)), np.where(fam == name, 1.0, -1.0)) for name in families]
+        add(slice(None), np.stack([np.where(fam == name, 1.0, -1.0) for name in families], 1))
     for name in families:
         for a, b in itertools.combinations(members[name], 2):
             rows = np.flatnonzero((y == a) | (y == b))
-            columns.append((rows, np.where(y[rows] == a, 1.0, -1.0)))
+            add(rows, np.where(y[rows] == a, 1.0, -1.0)[:, None])
             model.pairs.append((name, a, b))
-    fitted = []
-    for rows, side in columns:
-        w, b = fit_svm(x[rows], side)
-        fitted.append((w, b))
-        model.platt.append(fit_platt(x[rows] @ w + b, side))
-    model.weights = np.stack([w for w, _ in fitted], 1)
-    model.bias = np.array([b for _, b in fitted])
+    model.weights, model.bias = np.hstack(weights), np.concatenate(bias)
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, fold: int = 1, per_language: int = PER_LANGUAGE) -> Model:
-    """Learn from labelled rows outside the held-out fold."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, fold: int = 1, per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
+    """Learn from labelled rows outside the held-out fold.
+
+    The sample's histograms, of a fixed number of places, meet in one task,
+    which fits the model; its bound is most_rows, or 8 rows a language.
+    """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.filter(~held_out("id", folds, fold) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sample, _ = bounded_sample(rows, "lang", per_language, "id", "language")
-    table = sample.select("id", "text", "lang").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-    return fit(table["text"].combine_chunks(), table["lang"].to_pylist())
+    sample, most, counts = bounded_sample(rows, "lang", per_language, "id", "language", most_rows)
+    if not counts:
+        return fit(np.zeros((0, SIZE), np.float32), [])
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *pack_rows(histogram(part.column(2), ORDERS, SIZE))], ["key", "lang", "places", "filled"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        if table.num_rows:
+            table = table.sort_by([("key", "ascending"), ("lang", "ascending")]).combine_chunks()
+            x = unpack_rows(table["places"], table["filled"], SIZE)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(x, table["lang"].to_pylist()))], pa.binary())], ["model"])
+
+    key = F.concat_ws(" ", F.col("id").cast("string"), F.xxhash64("text").cast("string")).alias("key")
+    made = sample.select(key, "lang", "text").mapInArrow(features, "key string, lang string, places binary, filled binary")
+    found = made.limit(most).repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(np.zeros((0, SIZE), np.float32), [])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

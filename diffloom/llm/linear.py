@@ -70,27 +70,32 @@ def decision(column: pa.Array, weights: np.ndarray, bias: np.ndarray, orders: tu
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, strength: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Linear support vector machine (squared hinge, L2) by accelerated full-batch gradient steps; y is -1 or 1."""
-    n, d = x.shape
-    x, y = x.astype(np.float32, copy=False), y.astype(np.float32)
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    v = np.random.default_rng(0).normal(size=d).astype(np.float32)
+def fit_svms(x: np.ndarray, sides: np.ndarray, strength: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """Linear support vector machines (squared hinge, L2), one for each column of sides (-1 or 1), by accelerated full-batch gradient steps."""
+    used = np.flatnonzero(x.any(0))
+    full, x = x.shape[1], np.ascontiguousarray(x[:, used], np.float32)
+    y = sides.astype(np.float32)
+    up = y > 0
+    share = np.where(up, 0.5 / np.maximum(1, up.sum(0)), 0.5 / np.maximum(1, (~up).sum(0))).astype(np.float32)
+    k = y.shape[1]
+    v = np.repeat(np.random.default_rng(0).normal(size=(len(used), 1)).astype(np.float32), k, 1)
     for _ in range(10):  # the largest curvature, by power steps
         v = x.T @ (share * (x @ v))
-        v /= np.linalg.norm(v) + 1e-30
-    top = float((share * (x @ v) ** 2).sum()) + 1.0
-    step = 1 / (2 * top + strength)
-    w, b, pw, pb = np.zeros(d, np.float32), np.float32(0), np.zeros(d, np.float32), np.float32(0)
-    step, strength = np.float32(step), np.float32(strength)
+        v /= np.linalg.norm(v, axis=0) + 1e-30
+    top = (share * (x @ v) ** 2).sum(0) + 1.0
+    step, strength = (1 / (2 * top + strength)).astype(np.float32), np.float32(strength)
+    w, b = np.zeros((len(used), k), np.float32), np.zeros(k, np.float32)
+    pw, pb = w, b
     for t in range(rounds):
         m = np.float32(t / (t + 3))
         lw, lb = w + m * (w - pw), b + m * (b - pb)
         slack = np.maximum(0, 1 - y * (x @ lw + lb)) * share * y
         pw, pb = w, b
         w = lw + step * (2 * (x.T @ slack) - strength * lw)
-        b = lb + step * 2 * slack.sum()
-    return w.astype(np.float64), float(b)
+        b = lb + step * 2 * slack.sum(0)
+    out = np.zeros((full, k))
+    out[used] = w
+    return out, b.astype(np.float64)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, strength: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
@@ -146,20 +151,36 @@ def fit_platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)) / unit, float(b)
 
 
-def bounded_sample(df, key, per_key: int, id_col: str, seed: str):
+def bounded_sample(df, key: str, per_key: int, id_col: str, seed: str, most: int | None = None):
     """About per_key rows of each value of key (a column name), chosen by a hash of the id.
 
-    One aggregation counts the values; each then gets a rate, so no window
-    gathers a value's rows in one task.  A last limit bounds the rows sent to
-    the driver even where hashes fall badly.
+    most: bound on all rows together; many values then share it evenly, and each keeps its part.
+    One aggregation counts the values (one row for each reaches the driver);
+    each then gets a rate, so no window gathers a value's rows in one task.  A
+    last limit, put by the caller on what it made of the rows, bounds them even
+    where hashes fall badly.  Gives the rows, that limit and the counts.
     """
     from pyspark.sql import functions as F
 
-    counts = {r[key]: r["n"] for r in df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).limit(500).collect()}
+    counts = {r[key]: r["n"] for r in df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key).collect()}
     if not counts:
-        return df.limit(0), counts
+        return df.limit(0), 0, counts
+    if most:
+        per_key = max(8, min(per_key, most // len(counts)))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), F.lit(1 << 30))
-    rate = F.lit(0)
-    for value, n in counts.items():
-        rate = F.when(F.col(key) == F.lit(value), F.lit(int(min(1.0, per_key / n) * (1 << 30)))).otherwise(rate)
-    return df.filter(draw < rate).limit(2 * per_key * len(counts)), counts
+    names, rates = F.array(*[F.lit(v) for v in counts]), F.array(*[F.lit(int(min(1.0, per_key / n) * (1 << 30))) for n in counts.values()])
+    rate = F.element_at(F.map_from_arrays(names, rates), F.col(key))
+    return df.filter(draw < rate), 2 * per_key * len(counts), counts
+
+
+def pack_rows(x: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The filled places of each row of x and their values, as bytes, which is how training rows travel."""
+    places = [np.flatnonzero(r).astype("<u4") for r in x]
+    return pa.array([p.tobytes() for p in places], pa.binary()), pa.array([r[p].astype("<f4").tobytes() for r, p in zip(x, places)], pa.binary())
+
+
+def unpack_rows(places: pa.Array, values: pa.Array, width: int) -> np.ndarray:
+    out = np.zeros((len(places), width), np.float32)
+    for i, (p, v) in enumerate(zip(places, values)):
+        out[i, np.frombuffer(p.as_py(), "<u4")] = np.frombuffer(v.as_py(), "<f4")
+    return out

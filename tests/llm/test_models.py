@@ -120,6 +120,50 @@ def test_languages_held_out(docs_of):
     assert {r.doc_id for r in kept.collect()} >= {r.doc_id for r in held if r.score >= 0.5} and not {900, 901} & {r.doc_id for r in kept.collect()}
 
 
+def plain_prediction(model, x):
+    """Family by the largest share, language by votes of the pairs, in plain Python."""
+    prob = lambda k, m: 1 / (1 + math.exp(-max(-40, min(40, model.platt[k][0] * m + model.platt[k][1]))))
+    out = []
+    for row in x:
+        margins = [float(row @ model.weights[:, k] + model.bias[k]) for k in range(model.weights.shape[1])]
+        nf = len(model.families)
+        p = [prob(k, m) for k, m in enumerate(margins)]
+        f = max(range(nf), key=lambda k: p[k])
+        score, langs = p[f] / sum(p[:nf]), model.members[model.families[f]]
+        votes = {g: [0, 0.0, 1.0] for g in langs}
+        for k, (owner, a, b) in enumerate(model.pairs, nf):
+            if owner == model.families[f]:
+                for g, q in ((a, p[k]), (b, 1 - p[k])):
+                    votes[g] = [votes[g][0] + (p[k] >= 0.5 if g == a else p[k] < 0.5), votes[g][1] + q, min(votes[g][2], q)]
+        best = max(langs, key=lambda g: votes[g][0] + 0.01 * votes[g][1])
+        out.append((best, score * votes[best][2]))
+    return out
+
+
+def test_prediction_equals_plain_votes():
+    rng = random.Random(6)
+    words = WORDS | {"nl": "de het een en van niet met voor zijn water nacht licht huis mensen straat".split(), "it": "il la che per con una essere casa acqua notte luce gente questa bambino".split()}
+    texts = [(" ".join(rng.choice(words[g]) for _ in range(rng.randint(2, 25))), g) for g in words for _ in range(40)]
+    column = pa.array([t for t, _ in texts])
+    x = langid.histogram(column, langid.ORDERS, langid.SIZE)
+    model = langid.fit(x, [g for _, g in texts])
+    assert len(model.pairs) == 6 and len(model.families) == 2
+    lang, score = model.predict(column)
+    for got, s, (want, p) in zip(lang, score, plain_prediction(model, x.astype(float))):
+        assert got == want and s == pytest.approx(p, abs=1e-3)
+
+
+def test_every_language_is_learned(docs_of):
+    rng = random.Random(8)
+    rows = []
+    for k in range(510):
+        letters = [chr(0x4E00 + 3 * k + j) for j in range(3)]
+        rows += [(3 * k + j, "".join(rng.choice(letters) for _ in range(6)), f"lang{k}") for j in range(3)]
+    model = langid.train(docs_of(rows), most_rows=1000)
+    learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    assert {g for ms in model.members.values() for g in ms} == learned and len(learned) > 480
+
+
 def test_quality_views_agree_on_held_out(spark, docs_of):
     rng = random.Random(3)
     rows, label = [], {}
