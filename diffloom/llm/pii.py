@@ -13,6 +13,11 @@ counts: patterns and features have few values, so what reaches the driver is
 bounded by their product, not by the corpus.  The classifier then runs inside
 the scan as an expression.
 
+The texts are scanned once: what is kept of each row are its spans with the
+words before them (back to the last match of the kind, BEFORE characters at
+most), from which both the model and the answers are made.  The fixed kinds'
+spans get the classifier's probability, too, but stay whatever it says.
+
 Null text counts as empty.  Repeated rows each give a row; null ids stay; other
 columns are not read.  Offsets are code points, ends exclusive.
 """
@@ -25,7 +30,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import quoted, span_sql
+from .common import cut
+from .spans import AROUND, apart, quoted, running, span_sql
 
 KINDS = ["email", "ip", "card", "phone"]
 #: The four kinds.  Starting points are tied to the beginning of a run (or the last match's end), so no run is scanned twice.
@@ -67,31 +73,36 @@ _OCTETS = _OCTETS.replace("ltrim('0', p)", "regexp_replace(p, '^0+', '')")
 
 def _base(kind: str, text: str) -> str:
     if kind == "email":
-        return span_sql(text, EMAIL, "@")
+        return span_sql(text, EMAIL, "@", True)
     if kind == "ip":
-        return f"filter({span_sql(text, IP)}, m -> {_OCTETS})"
+        return f"filter({span_sql(text, IP, None, True)}, m -> {_OCTETS})"
     if kind == "card":
-        return f"filter({span_sql(text, CARD)}, m -> {_luhn(_DIGITS)})"
-    return f"filter({span_sql(text, PHONE)}, m -> char_length({_DIGITS}) between 8 and 15)"
+        return f"filter({span_sql(text, CARD, None, True)}, m -> {_luhn(_DIGITS)})"
+    return f"filter({span_sql(text, PHONE, "[+][0-9]", True)}, m -> char_length({_DIGITS}) between 8 and 15)"
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(_id, _keep0.., _text, _email, _ip, _card, _phone, _extra): arrays of (start, end, value); _extra has kind, too."""
+    """(_id, _keep0.., _text, _email, _ip, _card, _phone, _extra): arrays of spans with their surroundings; _extra has kind, too."""
     rows = docs.select(docs[id_col].alias("_id"), *[docs[c].alias(f"_keep{i}") for i, c in enumerate(keep)], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
     rows = rows.select("*", *[F.expr(_base(k, "_text")).alias(f"_{k}") for k in KINDS])
+    every = span_sql("_text", "|".join(f"(?:{p})" for p in EXTRA.values()), None, True)
+    rows = rows.withColumn("_more", F.expr(f"case when _text rlike {quoted(GATE)} then {every} else cast(array() as array<{AROUND}>) end"))
     kind = "case " + " ".join(f"when m.value rlike {quoted('^(?:' + p + ')$')} then '{k}'" for k, p in EXTRA.items()) + " else 'local' end"
-    free = " and ".join(f"not exists(_{k}, b -> b.start < m.end and m.start < b.end)" for k in KINDS)
-    extra = f"transform(filter({span_sql('_text', '|'.join(f'(?:{p})' for p in EXTRA.values()))}, m -> {free}), m -> named_struct('start', m.start, 'end', m.end, 'value', m.value, 'kind', {kind}))"
-    none = "cast(array() as array<struct<start:int,end:int,value:string,kind:string>>)"
-    return rows.withColumn("_extra", F.expr(f"case when _text rlike {quoted(GATE)} then {extra} else {none} end"))
+    rows = rows.withColumn("_extra", F.expr(apart("_more", [f"_{k}" for k in KINDS], AROUND))).drop("_more")
+    return rows.withColumn("_extra", F.expr(f"transform(_extra, m -> named_struct('start', m.start, 'end', m.end, 'value', m.value, 'before', m.before, 'after', m.after, 'kind', {kind}))"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """candidates(), written to the shared folder; without keep only the ids and the spans, else text and columns, too."""
+    found = candidates(docs, id_col, text_col, keep or ())
+    return cut(found if keep is not None else found.drop("_text"))
 
 
 def _described(spans: str) -> str:
     """SQL: spans with five votes and the classifier's features."""
     kind = "m.kind"
-    before = "substring(_text, greatest(m.start - 39, 1), least(m.start, 40))"
-    prior = "case when m.start > 0 then substring(_text, m.start, 1) else ' ' end"
-    after = "substring(_text, m.end + 1, 1)"
+    before, after = "m.before", "m.after"
+    prior = "case when m.before = '' then ' ' else right(m.before, 1) end"
     strict = (
         f"case {kind} when 'email' then case when m.value rlike '^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9][A-Za-z0-9-]*[.])+[A-Za-z]{{2,}}$' then 1 else -1 end "
         "when 'mail' then case when m.value rlike '(?i)[\\\\[(]at[\\\\])]' then 1 else -1 end "
@@ -194,16 +205,14 @@ def fit_classifier(rows: list[tuple[tuple[str, ...], float, float]], rounds: int
     return {k: round(v, 6) for k, v in weights.items()}, round(bias, 6)
 
 
-def _everything() -> str:
-    base = [f"transform(_{k}, m -> named_struct('start', m.start, 'end', m.end, 'value', m.value, 'kind', '{k}'))" for k in KINDS]
-    return f"concat({', '.join(base)}, _extra)"
+def _tagged(k: str) -> str:
+    """SQL for one kind's spans with their kind."""
+    return "_extra" if k == "extra" else f"transform(_{k}, m -> named_struct('start', m.start, 'end', m.end, 'value', m.value, 'before', m.before, 'after', m.after, 'kind', '{k}'))"
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on every candidate of every row."""
-    found = candidates(docs, id_col, text_col).select("_text", F.expr(_everything()).alias("_all"))
-    # Outer, as an inner explode adds a filter on the array, for which Spark would scan every text twice.
-    spans = found.select(F.explode_outer(F.expr(_described("_all"))).alias("s")).filter("s is not null")
+def train(scanned: DataFrame) -> Model:
+    """Fit on every candidate of every row of scan()."""
+    spans = scanned.select(F.expr(f"concat({', '.join(map(_tagged, [*KINDS, 'extra']))})").alias("_all")).filter("size(_all) > 0").select(F.explode(F.expr(_described("_all"))).alias("s"))
     groups = spans.groupBy(F.col("s.votes").alias("votes"), *[F.col(f"s.f.{n}").cast("string").alias(n) for n in FEATURES]).agg(F.count(F.lit(1)).alias("n")).collect()
     groups = sorted(groups, key=lambda r: (list(r["votes"]), [r[n] for n in FEATURES]))
     patterns: dict[tuple[int, ...], int] = {}
@@ -214,43 +223,57 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Mo
     return Model(share, rel, weights, bias)
 
 
-def _accepted(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: tuple[str, ...], least: float) -> DataFrame:
-    """candidates() with only the extra spans that the model accepts."""
-    found = candidates(docs, id_col, text_col, keep)
-    judged = f"transform(filter(zip_with(_extra, {_described('_extra')}, (m, d) -> named_struct('start', m.start, 'end', m.end, 'value', m.value, 'kind', m.kind, 'p', {model.sql('d.f')})), m -> m.p >= {least}D), m -> named_struct('start', m.start, 'end', m.end, 'value', m.value, 'kind', m.kind))"
-    return found.withColumn("_extra", F.expr(f"case when size(_extra) > 0 then {judged} else _extra end"))
+def _judged(scanned: DataFrame, model: Model, least: float) -> DataFrame:
+    """scan() with arrays of (start, end, value, kind, p); of the extra spans only those that the model accepts."""
+    for k in [*KINDS, "extra"]:
+        spans, name = _tagged(k), f"_{k}"
+        judged = f"zip_with({spans}, {_described(spans)}, (m, d) -> named_struct('start', m.start, 'end', m.end, 'value', m.value, 'kind', m.kind, 'p', {model.sql('d.f')}))"
+        if k == "extra":
+            judged = f"filter({judged}, m -> m.p >= {least}D)"
+        none = "cast(array() as array<struct<start:int,end:int,value:string,kind:string,p:double>>)"
+        scanned = scanned.withColumn(name, F.expr(f"case when size({name}) > 0 then {judged} else {none} end"))
+    return scanned
 
 
-def find_pii(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """(id, pii_email, pii_ip, pii_card, pii_phone, pii_extra) of each row; pii_extra holds the accepted broader spans."""
-    found = _accepted(docs, model, id_col, text_col, (), least)
+def find_pii(scanned: DataFrame, model: Model, id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
+    """(id, pii_email, pii_ip, pii_card, pii_phone, pii_extra) of each row of scan(); pii_extra holds the accepted broader spans."""
+    found = _judged(scanned, model, least)
     return found.select(F.col("_id").alias(id_col), *[F.col(f"_{k}").alias(f"pii_{k}") for k in [*KINDS, "extra"]])
 
 
 def pii_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts, hash of the fixed kinds' spans and the text of all spans, by kind and then start."""
+    """Counts, hash of the fixed kinds' spans and the text of all spans, by kind and then start.
+
+    span_scores: the classifier's probability of each span in that order;
+    n_doubtful: spans of the fixed kinds it would not have accepted.
+    """
     base = [f"transform(pii_{k}, m -> concat('{k}:', m.start, ':', m.end))" for k in KINDS]
     extra = [f"transform(filter(pii_extra, m -> m.kind = '{k}'), m -> concat('{k}:', m.start, ':', m.end))" for k in EXTRA]
+    scored = [f"pii_{k}" for k in KINDS] + [f"filter(pii_extra, m -> m.kind = '{k}')" for k in EXTRA]
     return found.select(
         id_col,
         *[F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.expr(f"array_join(concat({', '.join(base)}), ',')"), 256).alias("base_sha256"),
         F.expr(f"array_join(concat({', '.join(base + extra)}), ',')").alias("spans"),
         F.size("pii_extra").cast("long").alias("n_extra"),
+        F.expr(f"array_join(transform(concat({', '.join(scored)}), m -> cast(round(m.p, 4) as string)), ',')").alias("span_scores"),
+        F.expr(" + ".join(f"size(filter(pii_{k}, m -> m.p < 0.5D))" for k in KINDS)).cast("long").alias("n_doubtful"),
     )
 
 
-def redact_pii(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with a null text empty, with every span of text replaced by its kind in brackets; spans that overlap become one."""
+def redact_pii(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """docs, with a null text empty, with every span of text replaced by its kind in brackets; spans that overlap become one.
+
+    Without a model one is fitted to docs; either way the texts are scanned once.
+    """
     keep = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    found = _accepted(docs, model, id_col, text_col, keep, 0.5)
-    base = [f"transform(_{k}, m -> named_struct('start', m.start, 'end', m.end, 'kind', '{k}'))" for k in KINDS]
-    spans = f"array_sort(concat({', '.join(base)}, transform(_extra, m -> named_struct('start', m.start, 'end', m.end, 'kind', m.kind))))"
-    clean = (
-        f"aggregate({spans}, named_struct('at', 0, 'out', cast(array() as array<string>)), "
-        "(s, m) -> named_struct('at', greatest(s.at, m.end), 'out', case when m.start >= s.at then concat(s.out, array(substring(_text, s.at + 1, m.start - s.at), concat('[', upper(m.kind), ']'))) else s.out end), "
-        "s -> concat(array_join(s.out, ''), substring(_text, s.at + 1)))"
-    )
-    any_span = " + ".join(f"size(_{k})" for k in [*KINDS, "extra"])
-    names = {id_col: F.col("_id"), text_col: F.expr(f"case when {any_span} > 0 then {clean} else _text end")} | {c: F.col(f"_keep{i}") for i, c in enumerate(keep)}
+    scanned = scan(docs, id_col, text_col, keep) if model is None else candidates(docs, id_col, text_col, keep)
+    found = _judged(scanned, model or train(scanned), least)
+    spans = f"array_sort(transform(concat({', '.join(f'_{k}' for k in [*KINDS, 'extra'])}), m -> named_struct('start', m.start, 'end', m.end, 'kind', m.kind)))"
+    found = found.withColumn("_spans", F.expr(spans))
+    found = found.withColumn("_over", F.expr(running("_spans", "struct<start:int,end:int,kind:string>", "named_struct('start', x.start, 'end', greatest(x.end, y.end), 'kind', x.kind)")))
+    part = "case when m.start >= coalesce(r.end, 0) then concat(substring(_text, coalesce(r.end, 0) + 1, m.start - coalesce(r.end, 0)), '[', upper(m.kind), ']') else '' end"
+    parts = f"zip_with(_spans, concat(array(cast(null as struct<start:int,end:int,kind:string>)), slice(_over, 1, size(_over) - 1)), (m, r) -> {part})"
+    clean = f"concat(array_join({parts}, ''), substring(_text, element_at(_over, -1).end + 1))"
+    names = {id_col: F.col("_id"), text_col: F.expr(f"case when size(_spans) > 0 then {clean} else _text end")} | {c: F.col(f"_keep{i}") for i, c in enumerate(keep)}
     return found.select(*[names[c].alias(c) for c in docs.columns])

@@ -40,8 +40,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text."""
-    docs = read(spark, sf_dir, "documents")
-    return pii.pii_digest(pii.find_pii(docs, pii.train(docs)))
+    scanned = pii.scan(read(spark, sf_dir, "documents"))
+    return pii.pii_digest(pii.find_pii(scanned, pii.train(scanned)))
 
 
 def op7_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spans import quoted, span_sql
+from .spans import apart, quoted, span_sql
 
 #: The patterns of the three kinds and of candidates.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -74,8 +74,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.expr(f"filter({span_sql('_text', CANDIDATE)}, m -> m.value rlike '[0-9]' and m.value rlike '[A-Za-z]')").alias("_cands"),
     )
     allowed = " or ".join(f"m.value rlike {quoted(p)}" for p in ALLOW)
-    overlap = " or ".join(f"exists({k}, b -> b.start < m.end and m.start < b.end)" for k in ("assign", "access", "hex"))
-    rows = rows.withColumn("_cands", F.expr(f"filter(_cands, m -> not ({allowed}) and not ({overlap}))"))
+    rows = rows.withColumn("_cands", F.expr(f"filter(_cands, m -> not ({allowed}))"))
+    rows = rows.withColumn("_cands", F.expr(apart("_cands", ["assign", "access", "hex"])))
     limit = f"case when m.value rlike '^[0-9A-Fa-f]+$' then {THRESHOLDS['hex']}D when m.value rlike '^[A-Z0-9]+$' then {THRESHOLDS['upper']}D else {THRESHOLDS['mixed']}D end"
     judged = f"transform(_cands, m -> named_struct('start', m.start, 'end', m.end, 'value', m.value, 'bits', {_entropy('m.value')}))"
     # Rows without a candidate, nearly all, never enter the fold.

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,7 +77,7 @@ MODEL = pii.Model()
 
 def test_pii_base(docs_of):
     texts = noise(3, PII_PIECES, 300)
-    rows = pii.pii_digest(pii.find_pii(docs_of(texts), MODEL)).orderBy("doc_id").collect()
+    rows = pii.pii_digest(pii.find_pii(pii.candidates(docs_of(texts)), MODEL)).orderBy("doc_id").collect()
     for r, t in zip(rows, texts):
         spans = pii_spans(t)
         assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest(), t
@@ -87,13 +88,70 @@ def test_pii_learns_from_votes(docs_of):
     rng = random.Random(5)
     number = lambda n: "".join(rng.choice("23456789") for _ in range(n))
     texts = [f"call me: phone ({number(3)}) {number(3)}-{number(4)} please" for _ in range(40)] + [f"write to name{i}@mail.example.com or jo{i} [at] mail [dot] com" for i in range(40)] + [f"version 1{number(2)}-{number(3)}-{number(4)}x and id 9{number(2)}-00-0000z" for i in range(40)]
-    docs = docs_of(texts)
+    docs = pii.scan(docs_of(texts))
     model = pii.train(docs)
     assert model.weights and all(abs(sum(v[k] for v in t.values()) - 1) < 1e-9 for t in model.reliability for k in (0, 1))
     rows = pii.pii_digest(pii.find_pii(docs, model)).orderBy("doc_id").collect()
     assert sum(r.n_extra for r in rows[:40]) >= 36 and sum(r.n_extra for r in rows[40:80]) >= 36 and sum(r.n_extra for r in rows[80:]) == 0
 
 
+def plain_model(spans):
+    """Expectation-maximisation and the logistic fit over the spans one by one, in numpy."""
+    votes = np.array([s.votes for s in spans])
+    post = np.clip(0.5 + 0.45 * votes.sum(1) / votes.shape[1], 0.05, 0.95)
+    for _ in range(50):
+        share = (post.sum() + 1) / (len(post) + 2)
+        odds = np.full(len(post), math.log(share / (1 - share)))
+        for k in range(votes.shape[1]):
+            for vote, up, down in ((1, 2, 1), (0, 1, 1), (-1, 1, 2)):
+                at = votes[:, k] == vote
+                odds[at] += math.log((post[at].sum() + up) / (post.sum() + 4)) - math.log(((1 - post)[at].sum() + down) / ((1 - post).sum() + 4))
+        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    names = sorted({(n, str(s.f[n])) for s in spans for n in pii.FEATURES})
+    x = np.array([[(n, v) in {(f, str(s.f[f])) for f in pii.FEATURES} for n, v in names] for s in spans], float)
+    w, b = np.zeros(len(names)), 0.0
+    for _ in range(300):
+        gap = (post - 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))) / len(post)
+        w, b = w + x.T @ gap - 1e-3 * w, b + gap.sum()
+    return 1 / (1 + np.exp(-(x @ w + b)))
+
+
+def test_model_equals_plain_estimation(docs_of):
+    rng = random.Random(13)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    kinds = [lambda: f"call phone {number(3)}-{number(3)}-{number(4)}", lambda: f"id {number(3)}-{number(2)}-{number(4)}", lambda: f"jo{number(1)} [at] mail [dot] {rng.choice(['com', 'zz'])}", lambda: f"v {number(3)}.{number(3)}.{number(4)}x", lambda: f"a{number(2)}@b.c{rng.choice(['om', ''])}", lambda: f"+{number(2)} {number(3)} {number(5)}", lambda: f"{number(1)}.{number(2)}.1.0"]
+    scanned = pii.scan(docs_of([" ".join(rng.choice(kinds)() for _ in range(rng.randint(0, 9))) for _ in range(80)]))
+    spans = [s for r in scanned.select("_id", F.expr(pii._described(f"concat({', '.join(map(pii._tagged, [*pii.KINDS, 'extra']))})")).alias("d")).orderBy("_id").collect() for s in r.d]
+    want = plain_model(spans)
+    got = [m.p for r in pii.find_pii(scanned, pii.train(scanned), least=0.0).orderBy("doc_id").collect() for k in [*pii.KINDS, "extra"] for m in r[f"pii_{k}"]]
+    assert len(got) == len(want) > 200 and np.abs(np.array(got) - want).max() < 1e-3 and min(want) < 0.5 < max(want)
+    digest = pii.pii_digest(pii.find_pii(scanned, pii.train(scanned))).collect()
+    assert sum(r.n_doubtful for r in digest) == sum(p < 0.5 for p, k in zip(want, [k for r in pii.find_pii(scanned, MODEL, least=0.0).orderBy("doc_id").collect() for k in [*pii.KINDS, "extra"] for _ in r[f"pii_{k}"]]) if k in pii.KINDS)
+    assert all(len([x for x in r.span_scores.split(",") if x]) == len([x for x in r.spans.split(",") if x]) for r in digest)
+
+
+def test_very_many_matches(docs_of):
+    n = 20_000
+    texts = [" ".join(f"{i:016x}" for i in range(n)), " ".join(f"u{i}@h.org" for i in range(n)), " ".join(f"{i:016x} kD8s0qPz7LmX2vB9nT4y{i}" for i in range(n // 4))]
+    found = {r.doc_id: r for r in secrets.secret_digest(secrets.find_secrets(docs_of(texts))).collect()}
+    assert found[0].n_hex == n and found[0].base_sha256 == hashlib.sha256(",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(n)).encode()).hexdigest()
+    assert found[2].n_hex == n // 4 and found[2].n_entropy == n // 4
+    rows = pii.redact_pii(docs_of(texts[1:2])).collect()
+    assert rows[0].text == " ".join(["[EMAIL]"] * n)
+
+
+def test_apart(spark):
+    from diffloom.llm import spans as sp
+
+    rng = random.Random(14)
+    make = lambda n: sorted((a := rng.randrange(60), a + rng.randint(1, 6), "v") for _ in range(n))
+    rows = [(i, make(rng.randint(0, 8)), make(rng.randint(0, 5)), make(rng.randint(0, 5))) for i in range(200)]
+    df = spark.createDataFrame(rows, f"i int, a array<{sp.FIELDS}>, b array<{sp.FIELDS}>, c array<{sp.FIELDS}>")
+    for i, got in df.select("i", F.expr(sp.apart("a", ["b", "c"]))).collect():
+        want = [x for x in rows[i][1] if not any(o[0] < x[1] and x[0] < o[1] for o in rows[i][2] + rows[i][3])]
+        assert [tuple(x) for x in got] == want
+
+
 def test_estimation_recovers_reliabilities():
     rng = random.Random(6)
     good = [0.9, 0.8, 0.7]
@@ -203,7 +261,7 @@ def test_odd_rows(spark, odd_rows, no_rows):
     assert [(r.doc_id, r.item_id) for r in got] == [(6, 2)]
     assert decontam.contaminated(no_rows, bench).count() == 0
     assert decontam.contaminated(odd_rows, bench.limit(0)).count() == 0
-    for made in (secrets.secret_digest(secrets.find_secrets(odd_rows)), hostrules.host_quality(odd_rows), pii.pii_digest(pii.find_pii(odd_rows, pii.train(odd_rows)))):
+    for made in (secrets.secret_digest(secrets.find_secrets(odd_rows)), hostrules.host_quality(odd_rows), pii.pii_digest(pii.find_pii(pii.scan(odd_rows), pii.train(pii.scan(odd_rows))))):
         assert len(made.collect()) == 10
     assert pii.redact_pii(odd_rows, MODEL).columns == odd_rows.columns
-    assert hostrules.host_quality(no_rows).count() == 0 and pii.find_pii(no_rows, pii.train(no_rows)).count() == 0 and secrets.find_secrets(no_rows).count() == 0
+    assert hostrules.host_quality(no_rows).count() == 0 and pii.find_pii(pii.scan(no_rows), pii.train(pii.scan(no_rows))).count() == 0 and secrets.find_secrets(no_rows).count() == 0
