@@ -244,6 +244,58 @@ def test_decontamination_beyond_the_radius(spark, docs_of):
     assert max(r.hamming for r in got) > decontam.RADIUS
 
 
+def brute_windows(docs, bench, percent=80):
+    """The best similarity of any window of the item's size, for each document and item that reaches the percent."""
+    cut = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    grams = lambda ws: [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)] if len(ws) >= 5 else [tuple(ws)] if ws else []
+    items = {i: grams(cut(t)) for i, t in bench}
+    df = Counter(g for gs in items.values() for g in set(gs))
+    weight = lambda g: 1 + math.floor(math.log2(len(items) / df[g])) if g in df else 1 + len(items).bit_length() - 1
+    out = {}
+    for d, t in docs:
+        gs = grams(cut(t))
+        for i, want in items.items():
+            b = Counter(want)
+            for s in range(max(1, len(gs) - len(want) + 1)):
+                a = Counter(gs[s : s + len(want)])
+                shared = sum(min(a[g], b[g]) * weight(g) for g in a)
+                every = sum(k * weight(g) for g, k in (a | b).items())
+                if 100 * shared >= percent * every > 0 and shared / every > out.get((d, i), (0, 0))[0] + 1e-12:
+                    out[d, i] = (shared / every, s)
+    return out
+
+
+def test_decontamination_equals_all_windows(spark, docs_of):
+    """Parts in any order, replaced, inserted and dropped words, shared boilerplate, repeated shingles."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8)))
+    prose = lambda n: [word() for _ in range(n)]
+    boiler = prose(12)
+    bench = [prose(30) + prose(30) + prose(30) for _ in range(6)] + [boiler + prose(rng.randint(20, 40)) for _ in range(8)] + [prose(8) * 4, prose(3), prose(7)]
+    docs = []
+    for words in bench:
+        a, b, c = words[: len(words) // 3], words[len(words) // 3 : 2 * len(words) // 3], words[2 * len(words) // 3 :]
+        for parts in ([a, b, c], [b, c, a], [c, b, a], [a, prose(1), b, c], [a[:-2], b, c[1:]], [a, b, prose(2), c[2:]]):
+            copy = [w if rng.random() > 0.003 else word() for p in parts for w in p]
+            docs.append(" ".join(prose(rng.randint(0, 20)) + copy + prose(rng.randint(0, 20))))
+    docs += [" ".join(boiler + prose(30)) for _ in range(5)] + [" ".join(bench[0] + bench[7]), " ".join(bench[-2])]
+    bench, docs = [(i, " ".join(w)) for i, w in enumerate(bench)], list(enumerate(docs))
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontam.contaminated(docs_of(docs), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = brute_windows(docs, bench)
+    assert got.keys() == want.keys() and len(want) > 40
+    assert all(got[k] == (pytest.approx(want[k][0], abs=1e-8), want[k][1]) for k in want)
+    turned = [k for k in want if k[0] < 36 and k[0] % 6 == 1]
+    assert len(turned) >= 3  # parts B C A of items A B C
+
+
+def test_several_texts_of_one_id(spark, docs_of):
+    bench, word, rng = items(16, 4)
+    rows = [(1, bench[0][1]), (1, bench[1][1]), (1, bench[1][1]), (2, "other words")]
+    items_ = [(0, bench[0][1]), (1, bench[1][1]), (1, bench[2][1])]
+    got = decontam.contaminated(docs_of(rows), spark.createDataFrame(items_, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.similarity) for r in got} == {(1, 0, 1.0), (1, 1, 1.0)}
+
+
 def test_multi_index_keeps_every_pair_within_the_radius():
     masks = set(decontam._variants(16, decontam.RADIUS // decontam.BLOCKS))
     rng = random.Random(10)
