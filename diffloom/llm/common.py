@@ -36,8 +36,9 @@ def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     narrow: rows of a few numbers each, written in an eighth of the partitions
     (32 at least) to spare small files.
 
-    The copy survives lost executors and Spark's cleaner removes it once no
-    plan refers to it any more.
+    The copy survives lost executors.  Where the session sets
+    spark.cleaner.referenceTracking.cleanCheckpoints, Spark removes it once no
+    plan refers to it any more; else it stays until the folder is cleared.
     """
     shared_dir(df.sparkSession)
     if narrow:

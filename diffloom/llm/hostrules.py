@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import cut, salted_join
 
 HOST_LIMIT = 0.5
+#: The prior's strength in documents is at most this.
+MOST_STRENGTH = 1000
 WHITE = " \t\n\x0b\x0c\r"
 _WHITE_RE = "[\\\\x20\\\\x09-\\\\x0D]+"
 
@@ -67,7 +69,9 @@ def host_verdicts(counts: DataFrame) -> DataFrame:
     """(host, host_docs, host_failed, host_rate): failure rates shrunk by a beta prior.
 
     The prior's mean is the corpus rate; its strength comes from the variance
-    of host rates above what chance would give (moments, weighted by size).
+    of host rates above what chance would give (moments, weighted by size) and
+    lies between 1 and MOST_STRENGTH documents, so that a large host always
+    outweighs it; hosts that differ no more than by chance get the latter.
     """
     failed = " or ".join(f"({r})" for r in RULES.values())
     hosts = counts.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.expr(f"case when {failed} then 1 else 0 end")).alias("host_failed"))
@@ -77,7 +81,7 @@ def host_verdicts(counts: DataFrame) -> DataFrame:
         F.expr("x / double(n)").alias("mean"),
         F.expr("(r2 - x * (x / double(n)) - (k - 1) * (x / double(n)) * (1 - x / double(n))) / nullif(n - n2 / n, 0)").alias("var"),
     )
-    prior = prior.select("mean", F.expr("greatest(1D, least(1000D, coalesce(mean * (1 - mean) / nullif(greatest(var, 0D), 0D) - 1, 1000D)))").alias("strength"))
+    prior = prior.select("mean", F.expr(f"greatest(1D, least({MOST_STRENGTH}D, coalesce(mean * (1 - mean) / nullif(greatest(var, 0D), 0D) - 1, {MOST_STRENGTH}D)))").alias("strength"))
     return hosts.crossJoin(F.broadcast(prior)).select("host", "host_docs", "host_failed", F.expr("round((host_failed + mean * strength) / (host_docs + strength), 9)").alias("host_rate"))
 
 
@@ -86,7 +90,7 @@ def host_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = cut(document_counts(docs, id_col, text_col, host_col))  # a few numbers a row, used twice
     hosts = host_verdicts(counts).withColumn("host_key", F.coalesce("host", F.lit(""))).withColumn("host_null", F.col("host").isNull()).drop("host")
     rows = counts.withColumn("host_key", F.coalesce("host", F.lit(""))).withColumn("host_null", F.col("host").isNull())
-    rows = salted_join(rows, hosts, ["host_key", "host_null"], F.col(id_col).cast("string"), salts=32)
+    rows = salted_join(rows, hosts, ["host_key", "host_null"], F.xxhash64(F.col(id_col).cast("string"), "n_words", "word_chars", "n_symbols"), salts=32)
     any_rule = " or ".join(f"({r})" for r in RULES.values())
     base = f"({RULES['few_words']}) or ({RULES['repeated']})"
     return rows.select(

@@ -162,8 +162,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return pickle.loads(found[0]["model"]) if found else fit(np.zeros((0, SIZE), np.float32), [])
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs' id and `keep` columns with lang_pred and score; only the text is an input."""
+def _identified(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """(_id, lang_pred, score, _k0..): the prediction beside the kept columns under names of their own."""
     spread = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), *[docs[c].alias(f"_k{i}") for i, c in enumerate(keep)])
     fields = [f.dataType.simpleString() for f in spread.schema.fields]
 
@@ -177,8 +177,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(np.where(lang == "und", 0.0, score), pa.float64()), *extra], ["_id", "lang_pred", "score", *[f"_k{i}" for i in range(len(extra))]])
 
     schema = f"_id {fields[0]}, lang_pred string, score double" + "".join(f", _k{i} {fields[2 + i]}" for i in range(len(keep)))
-    out = spread.mapInArrow(run, schema)
-    return out.select(F.col("_id").alias(id_col), "lang_pred", "score", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
+    return spread.mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score) of each row of docs; only the text is an input."""
+    return _identified(docs, model, id_col, text_col, ()).withColumnRenamed("_id", id_col)
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, fold: int = 1) -> DataFrame:
@@ -194,6 +198,6 @@ def accept_languages(docs: DataFrame, model: Model, min_score: float = 0.5, id_c
     The columns of docs come back in their order and types.
     """
     rest = [c for c in docs.columns if c not in (id_col, lang_col)]
-    out = identify(docs, model, id_col, text_col, tuple(rest))
-    out = out.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).withColumnRenamed("lang_pred", lang_col)
-    return out.select(*docs.columns)
+    out = _identified(docs, model, id_col, text_col, tuple(rest)).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    names = {id_col: "_id", lang_col: "lang_pred"} | {c: f"_k{i}" for i, c in enumerate(rest)}
+    return out.select(*[F.col(names[c]).alias(c) for c in docs.columns])

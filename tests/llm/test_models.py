@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from diffloom.llm import langid, lm, quality
 
@@ -182,6 +183,49 @@ def test_quality_views_agree_on_held_out(spark, docs_of):
     assert all(0 <= x <= 1 for r in got for x in (r.content_score, r.meta_score, r.score))
 
 
+def test_co_training_equals_a_plain_version(spark, docs_of):
+    """The rounds over all rows at once, in numpy."""
+    rng = random.Random(17)
+    rows, label = [], {}
+    for i in range(500):
+        good = rng.random() < 0.5
+        text = " ".join(rng.choice(WORDS["en"]) + rng.choice(["", "" if good else "##"]) for _ in range(rng.randint(5, 50)))
+        rows.append((i, text, rng.choice(["en", "de"]), rng.choice(["s1", "s2"]) if good else rng.choice(["s2", "s3"])))
+        label[i] = int(good)
+    rows += [(600 + i, *rows[3][1:]) for i in range(40)]  # copies are passed on once
+    docs = docs_of(rows)
+    labels = spark.createDataFrame([(i, label[i], 0) for i in range(0, 500, 4)], "doc_id long, quality int, toxic int")
+    got_model = quality.train(docs, labels, exchange=15, sure=0.7)
+    got = {r.doc_id: r for r in quality.score_quality(docs, got_model).collect()}
+
+    keys = [r[0] for r in docs.selectExpr("concat_ws(' ', cast(doc_id as string), cast(xxhash64(text, source, lang) as string))").collect()]
+    held = np.array([r[0] for r in docs.selectExpr("pmod(xxhash64('held', cast(doc_id as string)), 4) = 0").collect()])
+    ids = np.array([r[0] for r in rows])
+    x = [quality.content_features(pa.array([r[1] for r in rows])), quality.meta_features(quality.meta_slots([r[3] for r in rows], [r[2] for r in rows], [len(r[1]) for r in rows]))]
+    lab = np.flatnonzero((ids < 500) & (ids % 4 == 0))
+    lab = lab[np.argsort([keys[i] for i in lab])]
+    y, free, given, exchanged = np.array([label[i] for i in ids[lab]], float), np.array(sorted(set(range(len(ids))) - set(lab.tolist()))), [{}, {}], []
+    fit = lambda: quality.fit_views([v[lab] for v in x], y, held[lab], [(v[list(g)], np.array(list(g.values()))) for v, g in zip(x, given)])
+    for _ in range(quality.ROUNDS):
+        views, passed = fit(), 0
+        for k, (w, b, _, _) in enumerate(views):
+            margin = np.round(x[k][free] @ w + b, 6)
+            for want, sign in ((1.0, 1), (0.0, -1)):
+                best = {}
+                for r, m in zip(free.tolist(), margin.tolist()):
+                    if sign * m >= math.log(0.7 / 0.3) and (m not in best or keys[r] < keys[best[m]]):
+                        best[m] = r
+                new = [r for _, r in sorted(best.items(), reverse=sign > 0) if r not in given[1 - k]][:15]
+                passed += len(new)
+                given[1 - k].update(dict.fromkeys(new, want))
+        exchanged.append(passed)
+    model = quality.CoTrained(float(y.mean()), fit(), exchanged)
+    score, (content, meta) = model.combine(tuple(v @ w + b for v, (w, b, _, _) in zip(x, model.views)))
+    assert got_model.exchanged[0] == exchanged[0] > 20 and len(got_model.exchanged) == len(exchanged)
+    assert np.abs(np.array([got[i].score for i in ids.tolist()]) - score).mean() < 0.02
+    assert np.mean([(got[i].score >= 0.5) == (s >= 0.5) for i, s in zip(ids.tolist(), score)]) > 0.98
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(4)
@@ -206,3 +250,26 @@ def test_pipeline(spark, tmp_path):
     assert "[EMAIL] soon" in spark.read.parquet(str(tmp_path / "pii")).filter("doc_id = 502").first().text
     whole = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {r.doc_id: r.ids_sha256 for r in docs.collect()} and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_with_odd_and_empty_tables(spark, docs_of, odd_rows, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, "some words of a benchmark item that stand in no text"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    prose = [(100 + i, " ".join(WORDS["en"][(i * k) % 17] for k in range(30)), "en", "s") for i in range(12)]
+    more = docs_of(prose + prose[:3])
+    for name in set(odd_rows.columns) - set(more.columns):
+        more = more.withColumn(name, F.lit(None).cast(odd_rows.schema[name].dataType))
+    for k, docs in enumerate((odd_rows.unionByName(more), odd_rows.limit(0))):
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, docs, str(tmp_path))
+            if name != "tokens":
+                assert made.columns == docs.columns
+            made.write.parquet(str(tmp_path / f"{k}-{name}"))
+            docs = spark.read.parquet(str(tmp_path / f"{k}-{name}"))
+        rows = docs.collect()
+        assert all(r.round_trip for r in rows)
+        if k:
+            assert not rows
+        else:  # repeated rows of an id leave one, rows without text or letters go, null ids stay
+            ids = [r.doc_id for r in rows]
+            assert len(ids) == len(set(ids)) and not {1, 2, 3} & set(ids) and {4, 100} <= set(ids)
