@@ -7,7 +7,6 @@ import json
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from diffloom.operators import diff, injection, security, verdict
 from diffloom.sources import files
@@ -35,17 +34,33 @@ def run_audit(spark: SparkSession, issue_path: str, diff_path: str) -> dict:
     patches = spark.createDataFrame([(0, patch)], "patch_id long, patch string")
     lines = diff.diff_lines(patches)
     texts = spark.createDataFrame([(0, issue)], "text_id long, text string")
-    on_issue = injection.scan_texts(texts).select(F.col("text_id").alias("patch_id"), "rule_id", "severity", F.lit(None).cast("string").alias("file"), "line", "evidence", (F.col("ord") - F.lit(1 << 40)).alias("ord"))
+    on_issue = verdict.issue_layer(injection.scan_texts(texts), spark.createDataFrame([(0, 0)], "patch_id long, instance_id long"))
     on_patch = injection.scan_comments(diff.comment_segments(lines)).drop("source")
     findings = verdict.all_findings(security.scan_patches(lines), on_issue.unionByName(on_patch))
     return json.loads(verdict.audit_json(findings, patches).first()["payload"])
 
 
+def report(record: dict, experimental: bool = False) -> str:
+    """The record as text: state of each layer, findings, the model's signal where asked for, verdict and footer."""
+    out = ["AUDIT REPORT (flags risky patterns; not a correctness check)", "", "Scanner layers"]
+    out += [f"  {layer}: {record[layer]}" for layer in ("security", "injection", "experimental")]
+    out += ["", f"{record['duplicates_collapsed']} duplicate findings collapsed", ""]
+    if record["findings"]:
+        rows = [("Rule ID", "Severity", "Location", "Evidence")]
+        rows += [(f["rule_id"], f["severity"].upper(), f"{f.get('file') or 'issue'}:{f['line']}", f["evidence"][:120]) for f in record["findings"]]
+        wide = [max(len(r[k]) for r in rows) for k in range(3)]
+        out += ["Flagged patterns", *["  " + "  ".join([*(v.ljust(w) for v, w in zip(r, wide)), r[3]]) for r in rows], ""]
+    if experimental:
+        out += ["Experimental signal (not part of the verdict)", f"  Status: {record['experimental']}", ""]
+    return "\n".join([*out, f"VERDICT: {record['verdict']}", "", record["footer"]])
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = Parser(description=__doc__)
     parser.add_argument("--diff", required=True)
     parser.add_argument("--issue", required=True)
     parser.add_argument("--json", action="store_true")
+    parser.add_argument("--codebert", action="store_true", help="report the experimental model's signal, which never changes the verdict")
     parser.add_argument("--model-path", default=None, help="accepted for compatibility; no model layer is installed")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
@@ -57,10 +72,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.json:
         print(json.dumps(record, indent=2))
     else:
-        print(record["verdict"])
-        for f in record["findings"]:
-            print(f"  {f['severity']:>8}  {f['rule_id']}  {f.get('file') or '-'}:{f['line']}  {f['evidence'][:120]}")
-        print(record["footer"])
+        print(report(record, args.codebert))
     return record["exit_code"]
 
 

@@ -87,5 +87,6 @@ def oracle_ctes() -> dict[str, str]:
         "patches": f"""select f.doc_id as patch_id, f.doc_id // 10 as instance_id, source as submission, lang as repo,
         case when lang in ({quoted(VAL_REPOS)}) then 'val' when lang in ({quoted(TEST_REPOS)}) then 'test' else 'train' end as split, {body} as patch, l.quality as resolved
         from ({framed}) f left join labels l on l.doc_id = f.doc_id""",
+        "texts": f"select doc_id as text_id, coalesce(text, '') || {n} || {pick(PHRASES, f'(doc_id // 10) % {len(PHRASES)}')} as text from documents",
         "issues": f"select doc_id // 10 as instance_id, coalesce(text, '') || {n} || {pick(PHRASES, f'(doc_id // 10) % {len(PHRASES)}')} as problem_statement from documents where doc_id % 10 = 0",
     }

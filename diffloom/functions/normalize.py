@@ -18,7 +18,7 @@ _CONTROLS = re.compile(rules.CONTROLS)
 _FOLD = str.maketrans(rules.HOMOGLYPH_PAIRS)
 _LEET = str.maketrans(rules.LEET)
 _BASE64 = re.compile(rules.BASE64)
-_COMMENT = re.compile(rf"(?s){rules.COMMENT_HTML}|{rules.COMMENT_MARKDOWN}")
+_COMMENT = re.compile(rules.COMMENT, re.DOTALL)
 
 
 def normalized(text: str | None, leet: bool = False) -> str:

@@ -28,10 +28,11 @@ def base64_payloads(col: str):
     return normalize.base64_udf(F.col(col))
 
 
-def embedded_comments(d, col: str) -> str:
-    """SQL: trimmed non-empty bodies of HTML comments, then of markdown ones."""
-    both = [d.extract_all(col, "(?s)" + p, 1) for p in (rules.COMMENT_HTML, rules.COMMENT_MARKDOWN)]
-    return both
+def embedded_comments(d, col: str) -> tuple[str, str]:
+    """SQL of either dialect: whole comments in order, and the body of one comment m (empty ones don't count)."""
+    pattern = "(?s)" + rules.COMMENT
+    first, second = d.extract("m", pattern, 1), d.extract("m", pattern, 2)
+    return d.extract_all(col, pattern, 0), f"case when {first} <> '' then {first} else {second} end"
 
 
 def text_variants(texts: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def legacy_scan(texts: DataFrame, scores: DataFrame | None = None) -> DataFrame:
     if scores is None:
         return rows.select("text_id", F.expr("case layer when 'validation' then 'WARNING' when 'regex' then 'CRITICAL' else 'NOT RUN' end").alias("status"), F.expr("case layer when 'regex' then 1.0D else 0.0D end").alias("confidence"), "layer")
     bug = F.max(F.when(F.col("label") == rules.LEGACY_LABELS[0], F.col("score")))
-    bad = F.max(F.when(F.col("label").isin(*rules.LEGACY_LABELS[1:3]), F.col("score")))
+    bad = F.max(F.when(F.col("label").isin(*rules.LEGACY_NEGATIVE), F.col("score")))
     best = scores.groupBy("text_id").agg(bug.alias("bug"), bad.alias("bad"), F.max("score").alias("top"))
     rows = rows.join(best, "text_id", "left")
     status = "case layer when 'validation' then 'WARNING' when 'regex' then 'CRITICAL' else case when bug > 0.8 then 'SAFE' when bad > 0.5 then 'FLAGGED' when top is null then 'NOT RUN' else 'WARNING' end end"

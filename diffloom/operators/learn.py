@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 #: What a token is in patches and in issue texts.
 PATCH_TOKEN = r"(?U)\b\w+\b|[+\-@=#]"
 ISSUE_TOKEN = r"(?U)\b\w\w+\b"
+MAX_ITER = 1000
 
 
 def tfidf(train: DataFrame, rows: DataFrame, column: str, token: str, out: str, size: int = 5000, ngrams: int = 2) -> DataFrame:
@@ -59,24 +60,42 @@ def logistic(train: DataFrame, rows: DataFrame, features: str = "features", labe
     share = train.agg(F.avg(label), F.count(F.lit(1))).first()
     if share[0] is None or share[0] in (0.0, 1.0):
         return rows.withColumn("score", F.lit(float(share[0] or 0.0)))
-    model = LogisticRegression(featuresCol=features, labelCol=label, elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * share[1]), maxIter=100)
+    model = LogisticRegression(featuresCol=features, labelCol=label, elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * share[1]), maxIter=MAX_ITER)
     return model.fit(train).transform(rows).withColumn("score", F.round(vector_to_array("probability")[1], 6)).drop("rawPrediction", "probability", "prediction")
 
 
 def multinomial(train: DataFrame, rows: DataFrame, label: str, features: str = "features") -> DataFrame:
     """rows with predicted class index of an integer label."""
     n = train.count()
-    model = LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", elasticNetParam=0.0, standardization=False, regParam=1.0 / max(n, 1), maxIter=50)
+    model = LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", elasticNetParam=0.0, standardization=False, regParam=1.0 / max(n, 1), maxIter=MAX_ITER)
     return model.fit(train).transform(rows).withColumn("predicted", F.col("prediction").cast("int")).drop("rawPrediction", "probability", "prediction")
 
 
-def leave_one_out(rows: DataFrame, group: str, also: str | None = None, features: str = "features") -> DataFrame:
+def coefficients(train: DataFrame, features: str = "features", label: str = "label", c: float = 1.0) -> list[float]:
+    """The fitted weights of logistic(); zeros where train has one class."""
+    share = train.agg(F.avg(label), F.count(F.lit(1))).first()
+    width = len(train.select(vector_to_array(features).alias("v")).first()["v"])
+    if share[0] in (0.0, 1.0):
+        return [0.0] * width
+    model = LogisticRegression(featuresCol=features, labelCol=label, elasticNetParam=0.0, standardization=False, regParam=1.0 / (c * share[1]), maxIter=MAX_ITER)
+    return [float(v) for v in model.fit(train).coefficients]
+
+
+#: Groups a leave-one-out run may have: each is a fit of its own, so their number must not grow with the data.
+MOST_GROUPS = 200
+
+
+def leave_one_out(rows: DataFrame, group: str, also: str | None = None, features: str = "features", prepare=None) -> DataFrame:
     """Scores of each group's rows from a model of all other groups (`also`: and of no shared value of that column).
 
-    The loop runs over groups, of which there are few; each fit is distributed.
+    prepare: makes (train, rows) with features from each fold's own training
+    rows, where features must be fitted.  The loop runs over groups, at most
+    MOST_GROUPS; each fit is distributed.
     """
-    out = None
-    for value in sorted(r[0] for r in rows.select(group).distinct().collect() if r[0] is not None):
+    out, values = None, sorted(r[0] for r in rows.select(group).distinct().limit(MOST_GROUPS + 2).collect() if r[0] is not None)
+    if len(values) > MOST_GROUPS:
+        raise ValueError(f"{group} has more than {MOST_GROUPS} values to leave out; put them into folds first")
+    for value in values:
         test = rows.filter(F.col(group) == value)
         train = rows.filter(F.col(group) != value)
         if also:
@@ -84,9 +103,11 @@ def leave_one_out(rows: DataFrame, group: str, also: str | None = None, features
         classes = train.agg(F.min("label"), F.max("label")).first()
         if classes[0] == classes[1]:
             continue
-        part = logistic(train, test, features).withColumn("fold", F.lit(str(value)))
+        if prepare:
+            train, test = prepare(train, train), prepare(train, test)
+        part = logistic(train, test, features).select("patch_id", "score").withColumn("fold", F.lit(str(value)))
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else rows.limit(0).withColumn("score", F.lit(0.0)).withColumn("fold", F.lit(""))
+    return out if out is not None else rows.limit(0).select("patch_id", F.lit(0.0).alias("score"), F.lit("").alias("fold"))
 
 
 def folds(rows: DataFrame, group: str, k: int, seed: str) -> DataFrame:

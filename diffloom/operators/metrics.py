@@ -10,14 +10,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Z = 1.959963984540054
+#: Resamples of a bootstrap.
+ROUNDS = 500
 
 
-def _auc(scored: DataFrame, keys: list[str]) -> DataFrame:
+def _auc(scored: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
     """Tie-averaged Mann-Whitney statistic of each group; null without both classes.
 
     Scores are first counted by value, so a rank needs no row order among ties.
+    weight: a column saying how often each row counts.
     """
-    by = scored.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
+    once = F.col(weight) if weight else F.lit(1)
+    by = scored.groupBy(*keys, "score").agg(F.sum(once).alias("n"), F.sum(F.col("label") * once).alias("p"))
     order = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     by = by.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
     out = by.groupBy(*keys).agg(F.sum(F.col("p") * (F.col("before") + (F.col("n") + 1) / 2.0)).alias("ranks"), F.sum("p").alias("pos"), F.sum(F.col("n") - F.col("p")).alias("neg"))
@@ -36,10 +40,21 @@ def pr_auc(scored: DataFrame) -> DataFrame:
     return by.groupBy("model").agg(F.expr("round(sum(p * double(tp) / all) / nullif(sum(p), 0), 9)").alias("ap"))
 
 
-def cumulative(scored: DataFrame) -> DataFrame:
-    """(model, id, n, tp, fp) after each row by descending score."""
-    run = Window.partitionBy("model").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return scored.select("model", "id", F.count(F.lit(1)).over(run).alias("n"), F.sum("label").over(run).cast("long").alias("tp"), F.sum(1 - F.col("label")).over(run).cast("long").alias("fp"))
+def cumulative(scored: DataFrame, parts: int = 64) -> DataFrame:
+    """(model, id, n, tp, fp) after each row by descending score.
+
+    Prefix sums in two levels: rows fall into score ranges of about equal size,
+    each range is summed up on its own, and the totals of the ranges before it
+    (a few rows a model) are added; no task sorts a whole model.
+    """
+    bounds = scored.groupBy("model").agg(F.array_distinct(F.percentile_approx("score", [k / parts for k in range(1, parts)], 10_000)).alias("_bounds"))
+    rows = scored.join(F.broadcast(bounds), "model").withColumn("_part", F.expr("size(filter(_bounds, b -> b > score))")).drop("_bounds")
+    sums = [F.count(F.lit(1)).alias("n0"), F.sum("label").cast("long").alias("tp0"), F.sum(1 - F.col("label")).cast("long").alias("fp0")]
+    ahead = Window.partitionBy("model").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("model", "_part").agg(*sums).select("model", "_part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("n0", "tp0", "fp0")])
+    run = Window.partitionBy("model", "_part").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.select("model", "_part", "id", F.count(F.lit(1)).over(run).alias("n"), F.sum("label").over(run).cast("long").alias("tp"), F.sum(1 - F.col("label")).over(run).cast("long").alias("fp"))
+    return rows.join(F.broadcast(before), ["model", "_part"]).select("model", "id", *[(F.col(c) + F.col(f"{c}0")).alias(c) for c in ("n", "tp", "fp")])
 
 
 def _totals(scored: DataFrame) -> DataFrame:
@@ -79,7 +94,7 @@ def draws(groups: DataFrame, rounds: int, seed: str) -> DataFrame:
     return weight.join(placed, "at").select("b", "instance_id", "weight")
 
 
-def bootstrap_within(scored: DataFrame, rounds: int = 200, seed: str = "42") -> DataFrame:
+def bootstrap_within(scored: DataFrame, rounds: int = ROUNDS, seed: str = "42") -> DataFrame:
     """2.5 and 97.5 percent points of the mean within-instance area over resampled instances."""
     per = _auc(scored, ["model", "instance_id"]).filter("auc is not null")
     chosen = draws(per.select("instance_id").distinct(), rounds, seed)
@@ -87,6 +102,13 @@ def bootstrap_within(scored: DataFrame, rounds: int = 200, seed: str = "42") ->
     return means.groupBy("model").agg(F.round(F.percentile("m", F.lit(0.025)), 9).alias("ci_low"), F.round(F.percentile("m", F.lit(0.975)), 9).alias("ci_high"), F.count(F.lit(1)).alias("rounds"))
 
 
+def bootstrap_auc(scored: DataFrame, rounds: int = ROUNDS, seed: str = "42") -> DataFrame:
+    """2.5 and 97.5 percent points of the area over the rows of resampled instances; draws of one class don't count."""
+    chosen = draws(scored.select("instance_id").distinct(), rounds, seed)
+    drawn = _auc(scored.join(chosen, "instance_id"), ["model", "b"], "weight").filter("auc is not null")
+    return drawn.groupBy("model").agg(F.round(F.percentile("auc", F.lit(0.025)), 9).alias("ci_low"), F.round(F.percentile("auc", F.lit(0.975)), 9).alias("ci_high"), F.count(F.lit(1)).alias("rounds"))
+
+
 def wilson(rows: DataFrame, k: str = "k", n: str = "n") -> DataFrame:
     """rows with Wilson's 95 % bounds of k out of n; (0, 0) for n <= 0."""
     p, z2 = f"({k} / double({n}))", Z * Z
@@ -115,6 +137,16 @@ def tied_pairs(scored: DataFrame, atol: float = 1e-6, rtol: float = 1e-5) -> Dat
     return pairs.groupBy("model").agg(F.count(F.lit(1)).alias("pairs"), F.sum(tied).cast("long").alias("tied"))
 
 
-def success_bar(within: DataFrame, interval: DataFrame, least: float = 0.7, low: float = 0.5) -> DataFrame:
-    """Whether a model passes: area of at least `least` and a lower bound above `low`."""
-    return within.join(interval, "model").select("model", "within_auc", "ci_low", F.expr(f"within_auc >= {least}D and ci_low > {low}D").alias("passed"))
+def success_bar(within: DataFrame, interval: DataFrame, control: DataFrame, least: float = 0.7, low: float = 0.5) -> DataFrame:
+    """Whether a model passes: area of at least `least`, a lower bound above `low`, and so the mean area over held-out groups.
+
+    control: (model, control) with that mean.
+    """
+    rows = within.join(interval, "model").join(control, "model", "left").withColumn("control", F.coalesce("control", F.lit(0.0)))
+    return rows.select("model", "within_auc", "ci_low", "control", F.expr(f"within_auc >= {least}D and ci_low > {low}D and control > {low}D").alias("passed"))
+
+
+def within_by_group(scored: DataFrame, group: str) -> DataFrame:
+    """(model, control): mean over groups of the within-instance area of each group's rows, groups without one left out."""
+    per = _auc(scored, ["model", group, "instance_id"]).filter("auc is not null").groupBy("model", group).agg(F.avg("auc").alias("m"))
+    return per.groupBy("model").agg(F.round(F.avg("m"), 9).alias("control"))

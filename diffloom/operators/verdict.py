@@ -23,6 +23,12 @@ def all_findings(security: DataFrame, injection: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
+def issue_layer(found: DataFrame, patches: DataFrame) -> DataFrame:
+    """Findings of issue texts (text_id is the instance) as findings of each of their patches, before those of its comments."""
+    rows = found.join(patches.select("patch_id", F.col("instance_id").alias("text_id")), "text_id")
+    return rows.select("patch_id", "rule_id", "severity", F.lit(None).cast("string").alias("file"), "line", "evidence", (F.col("ord") - F.lit(1 << 40)).alias("ord"))
+
+
 def deduplicate(findings: DataFrame) -> DataFrame:
     """The first finding of each (rule_id, file, line, evidence) of a patch; nulls equal nulls."""
     first = Window.partitionBy("patch_id", "rule_id", "file", "line", "evidence").orderBy("ord", "severity")

@@ -96,7 +96,22 @@ def relations() -> dict[str, str]:
         f"select patch_id, '{r}' as rule_id, {k} as pattern, pos, file, line_no as line, 'Prompt injection ({w}): ' || substr({D.extract('norm', p, 0, 'i')}, 1, 120) as evidence from (select *, {norm.format(t='content')} as norm from segments) where {D.matches('norm', p, 'i')}" for k, (r, p, w) in enumerate(rules.INJECTIONS)
     )
     out["injection"] = "select patch_id, rule_id, 'HIGH' as severity, 'comment' as source, file, line, evidence, cast(pos * 100000 + pattern as bigint) as ord from (select *, row_number() over (partition by patch_id, pos, rule_id order by pattern) as n from injection_raw) where n = 1"
-    out["findings"] = "select patch_id, rule_id, severity, file, line, evidence, 0 as layer, ord from security union all select patch_id, rule_id, severity, file, line, evidence, 1 as layer, ord from injection"
+    out["findings"] = "select patch_id, rule_id, severity, file, line, evidence, 0 as layer, ord from security union all select patch_id, rule_id, severity, null, line, evidence, 1, 0 from patches p join text_injection t on t.text_id = 10 * p.instance_id union all select patch_id, rule_id, severity, file, line, evidence, 2, ord from injection"
+    # Texts: the plain and leet forms, and payloads in base64; enough for texts without entities, accents or look-alikes.
+    leet = f"translate({{t}}, {D.text(''.join(rules.LEET))}, '{''.join(rules.LEET.values())}')"
+    packed = f"regexp_replace(unnest(regexp_extract_all(text, {D.text(rules.BASE64)})), '\\s+', '', 'g')"
+    out["payloads"] = f"select text_id, text, try(decode(from_base64(p))) as payload from (select text_id, text, {packed} as p from texts) where length(p) >= 16"
+    plain, folded = norm.format(t="{t}"), leet.format(t=norm.format(t="{t}"))
+    out["text_forms"] = " union all ".join(
+        f"select text_id, text, {v} as vord, {form.format(t=col)} as n, {'true' if v % 2 else 'false'} as leet from {src}" for v, (form, col, src) in enumerate(((plain, "text", "texts"), (folded, "text", "texts"), (plain, "payload", "payloads where length(payload) >= 8"), (folded, "payload", "payloads where length(payload) >= 8")))
+    )
+    out["text_hits"] = " union all ".join(f"select text_id, text, vord, leet, '{r}' as rule_id, {k} as pattern, 'Prompt injection ({w}): ' || substr({D.extract('n', p, 0, 'i')}, 1, 120) as evidence from text_forms where {D.matches('n', p, 'i')}" for k, (r, p, w) in enumerate(rules.INJECTIONS))
+    out["text_first"] = "select * from text_hits qualify row_number() over (partition by text_id, rule_id order by vord, pattern) = 1"
+    out["text_lines"] = f"select text_id, rule_id, pattern, leet, unnest(string_split_regex(text, {D.text(BREAK)})) as l, unnest(range(1, len(string_split_regex(text, {D.text(BREAK)})) + 1)) as spot from text_first"
+    form = f"(case when leet then {folded.format(t='l')} else {plain.format(t='l')} end)"
+    on_line = " or ".join(f"(pattern = {k} and {D.matches(form, p, 'i')})" for k, (_, p, _) in enumerate(rules.INJECTIONS))
+    out["text_places"] = f"select text_id, rule_id, min(spot) as line from text_lines where {on_line} group by 1, 2"
+    out["text_injection"] = "select f.text_id, f.rule_id, 'HIGH' as severity, 'issue' as source, cast(coalesce(p.line, 1) as integer) as line, evidence from text_first f left join text_places p on p.text_id = f.text_id and p.rule_id = f.rule_id"
     # Issue-versus-patch rules.
     t = "problem_statement"
     stop = "[" + ", ".join(f"'{w}'" for w in rules.STOPWORDS) + "]"
@@ -117,35 +132,47 @@ def relations() -> dict[str, str]:
     out["pair_lists"] = "select p.patch_id, coalesce(touched, []) as touched, coalesce(named, []) as named from patches p left join touched_list using (patch_id) left join named using (instance_id)"
     # Pairs one by one, then counted: no nested lambdas here.
     out["path_pairs"] = f"select patch_id, f, n, {match} as hit from (select patch_id, f, unnest(named) as n from (select patch_id, named, unnest(touched) as f from pair_lists))"
-    out["file_overlap"] = """select l.patch_id, case when len(touched) = 0 then 0.0::double else coalesce(fs, 0) / len(touched)::double end as fraction_touched_named,
+    listed = lambda v: f"'[' || coalesce(array_to_string(list_transform({v}, lambda v: '''' || v || ''''), ', '), '') || ']'"
+    out["overlap_counts"] = "select patch_id, count(distinct case when hit then f end) as fs, count(distinct case when hit then n end) as ns, list_sort(list(distinct n) filter (where hit)) as met from path_pairs group by 1"
+    out["overlap_rows"] = """select l.patch_id, touched, named, list_filter(named, lambda n: not coalesce(list_contains(met, n), false)) as untouched, case when len(touched) = 0 then 0.0::double else coalesce(fs, 0) / len(touched)::double end as fraction_touched_named,
         case when len(touched) = 0 then (case when len(named) > 0 then 1.0::double else 0.0::double end) when coalesce(ns, 0) < len(named) then 1.0::double else 0.0::double end as any_named_untouched,
         case when len(touched) = 0 or len(named) = 0 then null when coalesce(fs, 0) = 0 then 'medium' when coalesce(ns, 0) < len(named) then 'low' end as severity
-        from pair_lists l left join (select patch_id, count(distinct case when hit then f end) as fs, count(distinct case when hit then n end) as ns from path_pairs group by 1) h using (patch_id)"""
-    out["identifier_overlap"] = f"""select p.patch_id, coalesce(frac, 0) as issue_identifier_overlap_frac, case when n > 0 and frac = 0 then 'medium' end as severity from patches p left join
-        (select h.patch_id, avg(case when list_has_any({D.extract_all('content', rules.TOKEN)}, idents) then 1.0::double else 0.0::double end) as frac, max(len(idents)) as n
-        from heur_lines h join patches q on q.patch_id = h.patch_id join idents i on i.instance_id = q.instance_id group by 1) r on r.patch_id = p.patch_id"""
+        from pair_lists l left join overlap_counts h using (patch_id)"""
+    out["file_overlap"] = f"""select patch_id, fraction_touched_named, any_named_untouched, severity, case when severity is not null then 'issue_file_overlap' end as rule_id, case when severity is not null then touched[1] end as file, case when severity is not null then 1 end as line,
+        case severity when 'medium' then 'None of the touched files ' || {listed('touched')} || ' match issue named files/modules: ' || {listed('named[1:3]')} when 'low' then 'Issue mentions files/modules ' || {listed('untouched[1:3]')} || ' that were not touched in patch.' end as evidence from overlap_rows"""
+    out["identifier_rows"] = f"""select h.patch_id, avg(case when list_has_any({D.extract_all('content', rules.TOKEN)}, idents) then 1.0::double else 0.0::double end) as frac, any_value(idents) as idents, arg_min(file, pos) as file, arg_min(line_no, pos) as line
+        from heur_lines h join patches q on q.patch_id = h.patch_id join idents i on i.instance_id = q.instance_id group by 1"""
+    out["identifier_overlap"] = f"""select p.patch_id, coalesce(frac, 0) as issue_identifier_overlap_frac, case when fired then 'issue_identifier_overlap' end as rule_id, case when fired then 'medium' end as severity, case when fired then file end as file, case when fired then line end as line,
+        case when fired then 'Changed lines have 0% overlap with issue identifiers: ' || {listed('idents[1:5]')} end as evidence from patches p left join (select *, len(idents) > 0 and frac = 0 as fired from identifier_rows) r on r.patch_id = p.patch_id"""
     same = "translate(content, '\"', '''')"
     out["literal_hits"] = f"""select h.patch_id, file, line_no as line, pos, content, unnest(strings) as l, false as num from heur_lines h join patches q on q.patch_id = h.patch_id join literals t on t.instance_id = q.instance_id where kind = '+' and {D.matches('stripped', rules.CONDITION, 'i')}
         union all select h.patch_id, file, line_no, pos, content, unnest(numbers), true from heur_lines h join patches q on q.patch_id = h.patch_id join literals t on t.instance_id = q.instance_id where kind = '+' and {D.matches('stripped', rules.CONDITION, 'i')}"""
-    out["literal_hardcoding"] = f"select patch_id, file, line, min(l) as literal from literal_hits where case when num then regexp_matches(content, '\\b' || replace(l, '.', '\\.') || '\\b') else contains({same}, '''' || l || '''') end group by patch_id, file, line, pos"
+    code, after = strip(D, "content"), strip(D, "next")
+    short = f"substr({code}, 1, 60)"
+    out["literal_hardcoding"] = f"""select patch_id, 'issue_literal_hardcoding' as rule_id, 'high' as severity, file, line, 'Added line hardcodes issue literal ''' || min(l) || ''' in condition/return/assignment: ' || any_value({short}) as evidence
+        from literal_hits where case when num then regexp_matches(content, '\\b' || replace(l, '.', '\\.') || '\\b') else contains({same}, '''' || l || '''') end group by patch_id, file, line, pos"""
     out["ahead"] = "select *, lead(content) over (partition by patch_id order by pos) as next, lead(file) over (partition by patch_id order by pos) as next_file from heur_lines where kind = '+'"
-    one = " or ".join(D.matches("content", p, "i") for p in rules.SPECIAL_CASES)
-    out["special_casing"] = f"select patch_id, file, line_no as line, case when {one} then 'single' else 'pair' end as form from ahead where {one} or ({D.matches('content', rules.IF_EQUAL, 'i')} and next_file = file and {D.matches('next', rules.RETURN_LITERAL, 'i')})"
-    one = D.matches("content", rules.SWALLOW_ONE, "i")
-    out["swallowed_exception"] = f"select patch_id, file, line_no as line, case when {one} then 'single' else 'pair' end as form from ahead where {one} or ({D.matches('content', rules.SWALLOW_HEAD, 'i')} and next_file = file and {D.matches('next', rules.SWALLOW_BODY, 'i')})"
-    form = f"case when kind = '+' and {D.matches('content', rules.SKIP, 'i')} then 'skip' when kind = '+' and {D.matches('content', rules.ASSERT_COMMENTED, 'i')} then 'commented' when kind = '-' and {D.matches('content', rules.ASSERT_GONE, 'i')} then 'removed' end"
-    out["test_tampering"] = f"select *, case form when 'skip' then 'critical' else 'high' end as severity from (select patch_id, file, line_no as line, {form} as form from heur_lines where {paths.is_test_heur(D, 'file')}) where form is not null"
+    for key, rule, what, one, head, body in (
+        ("special_casing", "special_casing", "special casing", " or ".join(D.matches("content", p, "i") for p in rules.SPECIAL_CASES), rules.IF_EQUAL, rules.RETURN_LITERAL),
+        ("swallowed_exception", "swallowed_exceptions", "swallowed exception", D.matches("content", rules.SWALLOW_ONE, "i"), rules.SWALLOW_HEAD, rules.SWALLOW_BODY),
+    ):
+        out[key] = f"""select patch_id, '{rule}' as rule_id, 'high' as severity, file, line_no as line, case when {one} then 'Added single-line {what}: ' || {short} else 'Added multi-line {what}: ' || {code} || ' -> ' || {after} end as evidence
+            from ahead where {one} or ({D.matches('content', head, 'i')} and next_file = file and {D.matches('next', body, 'i')})"""
+    form = f"case when kind = '+' and {D.matches('content', rules.SKIP, 'i')} then 'Added skip/xfail decorator or call in' when kind = '+' and {D.matches('content', rules.ASSERT_COMMENTED, 'i')} then 'Commented out assertion in' when kind = '-' and {D.matches('content', rules.ASSERT_GONE, 'i')} then 'Removed assertion statement from' end"
+    out["test_tampering"] = f"select patch_id, 'test_tampering' as rule_id, case when form like 'Added%' then 'critical' else 'high' end as severity, file, line, form || ' test file: ' || code as evidence from (select patch_id, file, line_no as line, {form} as form, {short} as code from heur_lines where {paths.is_test_heur(D, 'file')}) where form is not null"
     label = "case " + " ".join(f"when {D.matches('content', p, 'i')} then {D.text(w)}" for p, w in rules.SUPPRESSIONS) + " end"
-    out["suppression_marker"] = f"select * from (select patch_id, file, line_no as line, {label} as marker from heur_lines where kind = '+') where marker is not null"
+    out["suppression_marker"] = f"select patch_id, 'suppression_markers' as rule_id, 'medium' as severity, file, line, 'Added suppression marker (' || marker || '): ' || code as evidence from (select patch_id, file, line_no as line, {label} as marker, {short} as code from heur_lines where kind = '+') where marker is not null"
     own = _package("f")
     out["scope_pairs"] = f"select patch_id, f, bool_or(contains(f, n) or contains(n, f)) as by_name, bool_or({_base('n')} = {_base('f')}) as by_base, bool_or({_package('n')} <> '' and (contains({own}, {_package('n')}) or contains({_package('n')}, {own}))) as by_package from path_pairs group by 1, 2"
     out["scope_creep"] = """select l.patch_id, coalesce(files, 0)::double as scope_creep_count, case when len(touched) = 0 then 0.0::double else coalesce(files, 0) / len(touched)::double end as scope_creep_fraction
         from pair_lists l left join (select patch_id, count(*) as files from scope_pairs where not by_name and not by_base and not by_package group by 1) using (patch_id)"""
     counted = ["literal_hardcoding", "special_casing", "swallowed_exception", "test_tampering", "suppression_marker"]
+    out["scope_findings"] = f"""select s.patch_id, 'scope_creep' as rule_id, 'medium' as severity, f as file, 1 as line, 'Touched file ''' || f || ''' is not named in the issue and not in the same package/directory as named files (' || {listed('named[1:3]')} || ')' as evidence
+        from scope_pairs s join pair_lists l on l.patch_id = s.patch_id where not by_name and not by_base and not by_package"""
     out["features"] = (
         "select f.patch_id, fraction_touched_named, any_named_untouched, issue_identifier_overlap_frac, "
         + ", ".join(f"coalesce(c_{c}.n, 0)::double as {c}_count, case when c_{c}.n > 0 then 1.0::double else 0.0::double end as has_{c}" for c in counted)
-        + ", scope_creep_count, scope_creep_fraction from file_overlap f join identifier_overlap using (patch_id) join scope_creep using (patch_id) "
+        + ", scope_creep_count, scope_creep_fraction from file_overlap f join (select patch_id, issue_identifier_overlap_frac from identifier_overlap) using (patch_id) join scope_creep using (patch_id) "
         + " ".join(f"left join (select patch_id, count(*) as n from {c} group by 1) c_{c} on c_{c}.patch_id = f.patch_id" for c in counted)
     )
     out["fire"] = """select f.patch_id, case when severity is not null then 1 else 0 end as rule_1, case when issue_identifier_overlap_frac > 0 then 1 else 0 end as rule_2, has_literal_hardcoding::integer as rule_3, has_special_casing::integer as rule_4,

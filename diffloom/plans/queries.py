@@ -13,6 +13,7 @@ from diffloom import corpus
 from diffloom.functions import paths, rules
 from diffloom.functions.dialect import Duck as D
 from diffloom.functions.dialect import Spark as S
+from diffloom.functions.dialect import strip
 from diffloom.operators import diff, heuristics, injection, learn, metrics, security, verdict
 
 from .oracle import compose
@@ -63,14 +64,8 @@ class Inputs:
 
     @property
     def findings(self) -> DataFrame:
-        return self._once("findings", lambda: verdict.all_findings(self.security, self.injection))
-
-    @property
-    def audited(self) -> DataFrame:
         """All three layers: security, injection in the patch's issue, injection in its comments."""
-        on_issue = injection.scan_texts(self.issue_texts).join(self.patches.select("patch_id", F.col("instance_id").alias("text_id")), "text_id")
-        on_issue = on_issue.select("patch_id", "rule_id", "severity", F.lit(None).cast("string").alias("file"), "line", "evidence", (F.col("ord") - F.lit(1 << 40)).alias("ord"))
-        return self._once("audited", lambda: verdict.all_findings(self.security, on_issue.unionByName(self.injection.drop("source"))))
+        return self._once("findings", lambda: verdict.all_findings(self.security, verdict.issue_layer(injection.scan_texts(self.issue_texts), self.patches).unionByName(self.injection.drop("source"))))
 
     @property
     def issue_texts(self) -> DataFrame:
@@ -167,30 +162,27 @@ define("sec_scan_patch", lambda x: x.security.select(*security.FINDING), f"selec
 # ---- Injection ----------------------------------------------------------------
 define("txt_normalize", lambda x: x.texts.select("text_id", injection.normalize_text("text").alias("norm"), injection.normalize_text("text", True).alias("leet")))
 define("txt_base64", lambda x: x.texts.select("text_id", F.array_join(injection.base64_payloads("text"), "\n").alias("payloads")))
-_bodies = lambda d, p: d.extract_all("html", "(?s)" + p, 1)
+_whole, _body = injection.embedded_comments(D, "html")
 
 
-@query("txt_comments", f"select page_id, array_to_string(list_filter(list_transform(list_concat({_bodies(D, rules.COMMENT_HTML)}, {_bodies(D, rules.COMMENT_MARKDOWN)}), lambda c: trim(c)), lambda c: c <> ''), chr(10)) as comments from pages")
+@query("txt_comments", f"select page_id, array_to_string(list_transform(list_filter(list_transform({_whole}, lambda m: {_body}), lambda c: c <> ''), lambda c: {strip(D, 'c')}), chr(10)) as comments from pages")
 def _comments(x):
-    """Bodies of hidden comments in pages."""
-    a, b = injection.embedded_comments(S, "html")
-    return x.table("pages").select("page_id", F.expr(f"array_join(filter(transform(concat({a}, {b}), c -> trim(c)), c -> c <> ''), '\\n')").alias("comments"))
+    """Bodies of hidden comments in pages, in their order."""
+    whole, body = injection.embedded_comments(S, "html")
+    return x.table("pages").select("page_id", F.expr(f"array_join(transform(filter(transform({whole}, m -> {body}), c -> c <> ''), c -> {strip(S, 'c')}), '\n')").alias("comments"))
 
 
 define("txt_variants", lambda x: injection.text_variants(x.texts))
-define("inj_scan_text", lambda x: injection.scan_texts(x.texts))
+define("inj_scan_text", lambda x: injection.scan_texts(x.texts).drop("ord"), "select * from text_injection")
 _found = "select patch_id, rule_id, severity, source, file, line, evidence from injection"
 _seven = ["patch_id", "rule_id", "severity", "source", "file", "line", "evidence"]
 define("inj_scan_patch", lambda x: x.injection.select(*_seven), _found)
 for _key, _id in rules.INJECTION_KEYS.items():
-    # Over conversations: the phrase lists stand in plain text of known turns.
-    _body = " or ".join(D.matches("n", p, "i") for r, p, _ in rules.INJECTIONS if r == _id)
-    _want = " or ".join(S.matches("n", p, "i") for r, p, _ in rules.INJECTIONS if r == _id)
-    define(_key, lambda x, w=_want: x.issues.select("instance_id", F.expr("trim(regexp_replace(lower(problem_statement), '\\\\s+', ' '))").alias("n")).select("instance_id", F.expr(w).alias("flagged")), f"select instance_id, {_body} as flagged from (select instance_id, trim(regexp_replace(lower(problem_statement), '\\s+', ' ', 'g')) as n from issues)")
+    define(_key, lambda x, i=_id: injection.scan_texts(x.texts).filter(F.col("rule_id") == i).drop("ord"), f"select * from text_injection where rule_id = '{_id}'")
 _k = "(case " + " ".join(f"when {D.matches('text', p, 'i')} then {i}" for i, (p, _) in enumerate(rules.LEGACY)) + " end)"
 _span = "(case k " + " ".join(f"when {i} then {D.extract('text', p, 0, 'i')}" for i, (p, _) in enumerate(rules.LEGACY)) + " end)"
 _why = "(case k " + " ".join(f"when {i} then {D.text(w)}" for i, (_, w) in enumerate(rules.LEGACY)) + " end)"
-define("inj_legacy_regex", lambda x: injection.legacy_regex(x.issue_texts), f"select text_id, 'CRITICAL' as status, 1.0::double as confidence, 'Fast-layer regex detected a ' || {_why} || '. Matched text: ''' || substr(trim({_span}), 1, 80) || '''' as reason, 'regex' as layer from (select *, {_k} as k from (select instance_id as text_id, problem_statement as text from issues)) where k is not null")
+define("inj_legacy_regex", lambda x: injection.legacy_regex(x.texts), f"select text_id, 'CRITICAL' as status, 1.0::double as confidence, 'Fast-layer regex detected a ' || {_why} || '. Matched text: ''' || substr(trim({_span}), 1, 80) || '''' as reason, 'regex' as layer from (select *, {_k} as k from texts) where k is not null")
 
 
 def _stub_labels(texts: DataFrame) -> DataFrame:
@@ -203,16 +195,16 @@ def _stub_labels(texts: DataFrame) -> DataFrame:
 _p = lambda k: f"round(('0x' || substr(md5(text), {1 + 4 * k}, 4))::bigint / 65535.0::double, 6)"
 _legacy_sql = f"""select text_id, case when layer = 'validation' then 'WARNING' when layer = 'regex' then 'CRITICAL' when bug > 0.8 then 'SAFE' when bad > 0.5 then 'FLAGGED' else 'WARNING' end as status,
     case when layer = 'validation' then 0.0::double when layer = 'regex' then 1.0::double else round(case when bug > 0.8 then bug when bad > 0.5 then bad else top end, 4) end as confidence, layer
-    from (select instance_id as text_id, problem_statement as text, {_p(0)} as bug, greatest({_p(1)}, {_p(2)}) as bad, greatest({_p(0)}, {_p(1)}, {_p(2)}, {_p(3)}) as top,
-    case when trim(problem_statement) = '' then 'validation' when {' or '.join(D.matches('problem_statement', p, 'i') for p, _ in rules.LEGACY)} then 'regex' else 'ai' end as layer from issues)"""
-define("inj_legacy_scan", lambda x: injection.legacy_scan(x.issue_texts, _stub_labels(x.issue_texts)), _legacy_sql)
-define("inj_legacy_batch", lambda x: injection.legacy_scan(x.issue_texts, _stub_labels(x.issue_texts.join(injection.legacy_regex(x.issue_texts), "text_id", "left_anti"))), _legacy_sql)
+    from (select text_id, {_p(0)} as bug, greatest({_p(2)}, {_p(3)}) as bad, greatest({_p(0)}, {_p(1)}, {_p(2)}, {_p(3)}) as top,
+    case when trim(text) = '' then 'validation' when {' or '.join(D.matches('text', p, 'i') for p, _ in rules.LEGACY)} then 'regex' else 'ai' end as layer from texts)"""
+define("inj_legacy_scan", lambda x: injection.legacy_scan(x.texts, _stub_labels(x.texts)), _legacy_sql)
+define("inj_legacy_batch", lambda x: injection.legacy_scan(x.texts, _stub_labels(x.texts.join(injection.legacy_regex(x.texts), "text_id", "left_anti"))), _legacy_sql)
 define("inj_ml_chunks", lambda x: injection.chunk_lines(x.texts))
 define("inj_ml_score", lambda x: injection.chunk_lines(x.texts).groupBy("text_id").agg(F.round(F.max(F.expr(injection.stub_score("text"))), 9).alias("score"), F.bool_or("partial").alias("partial")))
 define("inj_ml_text", lambda x: injection.ml_texts(x.texts, 0.9))
 _hash = "(('0x' || substr(md5(content), 1, 8))::bigint / 4294967296.0::double)"
 define("inj_ml_patch", lambda x: injection.ml_comments(x.segments, 0.5).drop("status"), f"select patch_id, 'INJ_ML' as rule_id, 'MEDIUM' as severity, 'comment' as source, file, line_no as line, substr(content, 1, 200) as evidence, round({_hash.replace('4294967296', '4294967295')}, 6) as score from segments where {_hash.replace('4294967296', '4294967295')} >= 0.5")
-define("inj_ml_loader", lambda x: injection.not_run(x.issue_texts, "no model installed"), "select instance_id as text_id, 'INJ_ML' as rule_id, 'REVIEW' as severity, 'model' as source, 0 as line, '' as evidence, cast(null as double) as score, 'NOT RUN (no model installed)' as status from issues")
+define("inj_ml_loader", lambda x: injection.not_run(x.texts, "no model installed"), "select text_id, 'INJ_ML' as rule_id, 'REVIEW' as severity, 'model' as source, 0 as line, '' as evidence, cast(null as double) as score, 'NOT RUN (no model installed)' as status from texts")
 
 
 @query("inj_all_text")
@@ -237,14 +229,16 @@ define("heur_named_items", lambda x: _joined(heuristics.named_items(x.issues), "
 define("heur_issue_idents", lambda x: _joined(heuristics.issue_identifiers(x.issues), "idents"), "select instance_id, array_to_string(idents, '|') as idents from idents")
 define("heur_issue_literals", lambda x: heuristics.issue_literals(x.issues).select("instance_id", F.array_join("strings", "|").alias("strings"), F.array_join("numbers", "|").alias("numbers")), "select instance_id, array_to_string(strings, '|') as strings, array_to_string(numbers, '|') as numbers from literals")
 _r9 = lambda df, *cs: df.withColumns({c: F.round(c, 9) for c in cs})
-define("heur1_file_overlap", lambda x: _r9(heuristics.file_overlap(x.lines, x.patches, x.issues), "fraction_touched_named"), "select patch_id, round(fraction_touched_named, 9) as fraction_touched_named, any_named_untouched, severity from file_overlap")
-define("heur2_ident_overlap", lambda x: _r9(heuristics.identifier_overlap(x.lines, x.patches, x.issues), "issue_identifier_overlap_frac"), "select patch_id, round(issue_identifier_overlap_frac, 9) as issue_identifier_overlap_frac, severity from identifier_overlap")
-define("heur3_literal_hardcoding", lambda x: heuristics.literal_hardcoding(x.lines, x.patches, x.issues), "select patch_id, file, line, literal from literal_hardcoding")
-define("heur4_special_casing", lambda x: heuristics.special_casing(x.lines), "select patch_id, file, line, form from special_casing")
-define("heur5_swallowed_exc", lambda x: heuristics.swallowed_exceptions(x.lines), "select patch_id, file, line, form from swallowed_exception")
-define("heur6_test_tampering", lambda x: heuristics.test_tampering(x.lines), "select patch_id, file, line, form, severity from test_tampering")
-define("heur7_suppression", lambda x: heuristics.suppression_markers(x.lines), "select patch_id, file, line, marker from suppression_marker")
-define("heur8_scope_creep", lambda x: _r9(heuristics.scope_creep(x.lines, x.patches, x.issues).drop("files"), "scope_creep_fraction"), "select patch_id, scope_creep_count, round(scope_creep_fraction, 9) as scope_creep_fraction from scope_creep")
+_place = "rule_id, severity, file, line, evidence"
+define("heur1_file_overlap", lambda x: _r9(heuristics.file_overlap(x.lines, x.patches, x.issues), "fraction_touched_named"), f"select patch_id, round(fraction_touched_named, 9) as fraction_touched_named, any_named_untouched, {_place} from file_overlap")
+define("heur2_ident_overlap", lambda x: _r9(heuristics.identifier_overlap(x.lines, x.patches, x.issues), "issue_identifier_overlap_frac"), f"select patch_id, round(issue_identifier_overlap_frac, 9) as issue_identifier_overlap_frac, {_place} from identifier_overlap")
+define("heur3_literal_hardcoding", lambda x: six(heuristics.line_findings(x.lines, heuristics.issue_facts(x.patches, x.issues), ["literal_hardcoding"])), f"select {SIX} from literal_hardcoding")
+for _name, _key in (("heur4_special_casing", "special_casing"), ("heur5_swallowed_exc", "swallowed_exception"), ("heur6_test_tampering", "test_tampering"), ("heur7_suppression", "suppression_marker")):
+    define(_name, lambda x, k=_key: six(heuristics.line_findings(x.lines, keys=[k])), f"select {SIX} from {_key}")
+define("heur8_scope_creep", lambda x: _r9(heuristics.scope_creep(x.lines, x.patches, x.issues), "scope_creep_fraction"), "select patch_id, scope_creep_count, round(scope_creep_fraction, 9) as scope_creep_fraction from scope_creep")
+define("heur8_scope_findings", lambda x: six(heuristics.scope_findings(heuristics.file_rules(x.lines, x.patches, heuristics.issue_facts(x.patches, x.issues)))), f"select {SIX} from scope_findings")
+_rules_sql = [f"select {SIX} from {k}" for k in ("literal_hardcoding", "special_casing", "swallowed_exception", "test_tampering", "suppression_marker", "scope_findings")] + [f"select {SIX} from {k} where rule_id is not null" for k in ("file_overlap", "identifier_overlap")]
+define("heur_findings", lambda x: heuristics.findings(x.lines, x.patches, x.issues), " union all ".join(_rules_sql))
 _feature_sql = "select patch_id, " + ", ".join(f"round({c}, 9) as {c}" for c in rules.FEATURES) + " from features"
 define("heur_all", lambda x: _r9(heuristics.features(x.lines, x.patches, x.issues), *rules.FEATURES), _feature_sql)
 define("heur_dataset", lambda x: _r9(heuristics.features(x.lines, x.patches, x.issues), *rules.FEATURES).join(x.patches.select("patch_id", "instance_id", "submission", "split", "resolved"), "patch_id"), _feature_sql.replace("select patch_id", "select f.patch_id, instance_id, submission, split, resolved").replace("from features", "from features f join patches p on p.patch_id = f.patch_id"))
@@ -261,5 +255,5 @@ define(
     case when high then 2 when inj or med then 1 else 0 end as exit_code from patches p left join (select patch_id, bool_or(rule_id like 'INJ%') as inj, bool_or(rule_id not like 'INJ%' and upper(severity) in ('HIGH', 'CRITICAL')) as high,
     bool_or(rule_id not like 'INJ%' and upper(severity) = 'MEDIUM') as med, bool_or(rule_id not like 'INJ%' and upper(severity) in ('LOW', 'REVIEW')) as low from findings group by 1) f on f.patch_id = p.patch_id""",
 )
-define("sink_audit_json", lambda x: verdict.audit_json(x.audited, x.patches))
+define("sink_audit_json", lambda x: verdict.audit_json(x.findings, x.patches))
 define("sink_audit_text", lambda x: six(verdict.deduplicate(x.findings)).withColumn("evidence", F.substring("evidence", 1, 120)), f"select patch_id, rule_id, severity, file, line, substr(evidence, 1, 120) as evidence from (select *, row_number() over (partition by patch_id, rule_id, file, line, evidence order by layer, ord, severity) as n from findings) where n = 1")

@@ -39,7 +39,7 @@ define("join_index_align", lambda x: diff.size_features(x.patches).join(heuristi
 
 # ---- Aggregations ----------------------------------------------------------------
 _known = "select * from patches where resolved is not null"
-define("agg_repo_prior", lambda x: learn.prior(x.patches.filter("split = 'train' and resolved is not null").withColumn("label", F.col("resolved")), x.patches.select("patch_id", "submission"), "submission").select("patch_id", F.round("score", 9).alias("score")), f"select patch_id, round(coalesce(m, (select avg(resolved) from ({_known}) where split = 'train')), 9) as score from patches p left join (select submission, avg(resolved) as m from ({_known}) where split = 'train' group by 1) s on s.submission = p.submission")
+define("agg_repo_prior", lambda x: learn.prior(x.patches.filter("split = 'train' and resolved is not null").withColumn("label", F.col("resolved")), x.patches.select("patch_id", "repo"), "repo").select("patch_id", F.round("score", 9).alias("score")), f"select patch_id, round(coalesce(m, (select avg(resolved) from ({_known}) where split = 'train')), 9) as score from patches p left join (select repo, avg(resolved) as m from ({_known}) where split = 'train' group by 1) s on s.repo = p.repo")
 _rules = [f"rule_{k}" for k in range(1, 9)]
 _stack = "stack(8, " + ", ".join(f"'{r}', {r}" for r in _rules) + ") as (rule, fired)"
 _long = "select patch_id, rule, fired from fire unpivot (fired for rule in (" + ", ".join(_rules) + "))"
@@ -137,8 +137,14 @@ _within = _auc("model, instance_id")
 define("met_within_auc", lambda x: metrics.within_auc(x.scored), f"select model, round(avg(auc), 9) as within_auc, count(*) as n_instances from ({_within}) where auc is not null group by 1")
 _draws = f"""select w.model, w.b, sum(auc * weight) / sum(weight) as m from (select g.model, g.instance_id, g.auc, d.b, d.weight from ({_within}) g
     join (select instance_id, row_number() over (order by instance_id) - 1 as spot from (select distinct instance_id from ({_within}) where auc is not null)) q on q.instance_id = g.instance_id
-    join (select b, spot, count(*) as weight from (select b.b, ('0x' || substr(md5('42|' || b.b || '|' || j.j), 1, 8))::bigint % k.k as spot from range(200) b(b), (select count(distinct instance_id) as k from ({_within}) where auc is not null) k, range(100000) j(j) where j.j < k.k) group by 1, 2) d on d.spot = q.spot where g.auc is not null) w group by 1, 2"""
-define("met_bootstrap_ci", lambda x: metrics.bootstrap_within(x.scored), f"select model, round(quantile_cont(m, 0.025), 9) as ci_low, round(quantile_cont(m, 0.975), 9) as ci_high, count(*) as rounds from ({_draws}) group by 1")
+    join (select b, spot, count(*) as weight from (select b.b, ('0x' || substr(md5('42|' || b.b || '|' || j.j), 1, 8))::bigint % k.k as spot from range({metrics.ROUNDS}) b(b), (select count(distinct instance_id) as k from ({_within}) where auc is not null) k, range(100000) j(j) where j.j < k.k) group by 1, 2) d on d.spot = q.spot where g.auc is not null) w group by 1, 2"""
+define("met_within_ci", lambda x: metrics.bootstrap_within(x.scored), f"select model, round(quantile_cont(m, 0.025), 9) as ci_low, round(quantile_cont(m, 0.975), 9) as ci_high, count(*) as rounds from ({_draws}) group by 1")
+_spots = "select instance_id, row_number() over (order by instance_id) - 1 as spot from (select distinct instance_id from scored)"
+_weights = f"""select b, spot, count(*) as w from (select b.b, ('0x' || substr(md5('42|' || b.b || '|' || j.j), 1, 8))::bigint % k.k as spot from range({metrics.ROUNDS}) b(b), (select count(distinct instance_id) as k from scored) k, range(100000) j(j) where j.j < k.k) group by 1, 2"""
+_by_score = f"select s.model, d.b, s.score, sum(w) as n, sum(w * label) as p from scored s join ({_spots}) q on q.instance_id = s.instance_id join ({_weights}) d on d.spot = q.spot group by 1, 2, 3"
+_drawn = f"select model, b, sum(p) as pos, sum(n) - sum(p) as neg, sum(p * (coalesce(before, 0) + (n + 1) / 2.0::double)) as ranks from (select *, sum(n) over (partition by model, b order by score rows between unbounded preceding and 1 preceding) as before from ({_by_score})) group by 1, 2"
+_areas = f"select model, (ranks - pos * (pos + 1) / 2.0::double) / (pos * neg) as auc from ({_drawn}) where pos > 0 and neg > 0"
+define("met_bootstrap_ci", lambda x: metrics.bootstrap_auc(x.scored), f"select model, round(quantile_cont(auc, 0.025), 9) as ci_low, round(quantile_cont(auc, 0.975), 9) as ci_high, count(*) as rounds from ({_areas}) group by 1")
 _z = metrics.Z
 define("met_wilson", lambda x: metrics.wilson(x.patches.groupBy("submission").agg(F.sum(F.coalesce("resolved", F.lit(0))).cast("long").alias("k"), F.count("resolved").alias("n"))), f"select submission, k, n, case when n <= 0 then 0.0::double else round(greatest(0, (p + {_z * _z} / (2 * n) - {_z} * sqrt((p * (1 - p) + {_z * _z} / (4 * n)) / n)) / (1 + {_z * _z} / n)), 9) end as ci_low, case when n <= 0 then 0.0::double else round(least(1, (p + {_z * _z} / (2 * n) + {_z} * sqrt((p * (1 - p) + {_z * _z} / (4 * n)) / n)) / (1 + {_z * _z} / n)), 9) end as ci_high from (select submission, sum(coalesce(resolved, 0))::bigint as k, count(resolved) as n, sum(coalesce(resolved, 0)) / nullif(count(resolved), 0)::double as p from patches group by 1)")
 _hit = "(case when score >= 0.5 then 1 else 0 end)"
@@ -146,7 +152,8 @@ _table = f"select model, count(*) as n, sum({_hit} * label) as tp, sum({_hit}) a
 define("met_classification", lambda x: metrics.classification(x.scored), f"select model, round(good / n::double, 4) as accuracy, round(coalesce(tp / nullif(called, 0)::double, 0), 4) as precision, round(coalesce(tp / nullif(pos, 0)::double, 0), 4) as recall, round(coalesce(2 * tp / nullif(called + pos, 0)::double, 0), 4) as f1 from ({_table})")
 define("met_accuracy", lambda x: x.scored.groupBy("model").agg(F.round(F.avg(F.expr("case when (score >= 0.5) = (label = 1) then 1D else 0D end")), 9).alias("accuracy")), "select model, round(avg(case when (score >= 0.5) = (label = 1) then 1.0::double else 0.0::double end), 9) as accuracy from scored group by 1")
 define("met_eval_split", lambda x: metrics.roc_auc(x.scored).join(metrics.pr_auc(x.scored), "model").join(metrics.precision_at_fpr(x.scored), "model").join(metrics.fp_per_100_at_recall(x.scored), "model").join(metrics.within_auc(x.scored), "model"), f"select a.model, auc, ap, precision, fp_per_100, within_auc, n_instances from (select model, round(auc, 9) as auc from ({_auc('model')})) a join (select model, round(sum(p * tp / a::double) / sum(p), 9) as ap from (select model, p, sum(p) over (partition by model order by score desc) as tp, sum(n) over (partition by model order by score desc) as a from (select model, score, count(*) as n, sum(label) as p from scored group by 1, 2)) group by 1) b using (model) join (select model, round(coalesce(max_by(tp / n::double, n) filter (where fp <= 0.05 * neg), 0.0::double), 9) as precision, round(100.0::double * coalesce(min_by(fp, n) filter (where tp >= 0.8 * pos), max(neg)) / (max(pos) + max(neg)), 9) as fp_per_100 from ({_prefix}) group by 1) c using (model) join (select model, round(avg(auc), 9) as within_auc, count(*) as n_instances from ({_within}) where auc is not null group by 1) d using (model)")
-define("met_success_bar", lambda x: metrics.success_bar(metrics.within_auc(x.scored), metrics.bootstrap_within(x.scored)), f"select w.model, within_auc, ci_low, within_auc >= 0.7 and ci_low > 0.5 as passed from (select model, round(avg(auc), 9) as within_auc from ({_within}) where auc is not null group by 1) w join (select model, round(quantile_cont(m, 0.025), 9) as ci_low from ({_draws}) group by 1) c using (model)")
+_control = f"select model, round(avg(m), 9) as control from (select model, submission, avg(auc) as m from ({_auc('model, submission, instance_id')}) where auc is not null group by 1, 2) group by 1"
+define("met_success_bar", lambda x: metrics.success_bar(metrics.within_auc(x.scored), metrics.bootstrap_within(x.scored), metrics.within_by_group(x.scored, "submission")), f"select model, within_auc, ci_low, coalesce(control, 0) as control, within_auc >= 0.7 and ci_low > 0.5 and coalesce(control, 0) > 0.5 as passed from (select model, round(avg(auc), 9) as within_auc from ({_within}) where auc is not null group by 1) w join (select model, round(quantile_cont(m, 0.025), 9) as ci_low from ({_draws}) group by 1) c using (model) left join ({_control}) g using (model)")
 define("met_tie_pairs", lambda x: metrics.tied_pairs(x.scored).select("model", "pairs", "tied", F.round(F.col("tied") / F.col("pairs"), 9).alias("share")), "select a.model, count(*) as pairs, sum(case when abs(a.score - b.score) <= 1e-6 + 1e-5 * abs(b.score) then 1 else 0 end)::bigint as tied, round(sum(case when abs(a.score - b.score) <= 1e-6 + 1e-5 * abs(b.score) then 1 else 0 end) / count(*)::double, 9) as share from scored a join scored b on a.model = b.model and a.instance_id = b.instance_id and a.label = 1 and b.label = 0 group by 1")
 
 # ---- Models -----------------------------------------------------------------------
@@ -166,7 +173,7 @@ def _nonzero(df, column: str):
 
 def _text_model(x, texts, column: str, token: str):
     rows = _labelled(x).select("patch_id", "split", "label").join(texts, "patch_id")
-    return learn.tfidf(rows.filter("split = 'train'"), rows, column, token, "features", size=1000)
+    return learn.tfidf(rows.filter("split = 'train'"), rows, column, token, "features")
 
 
 def _with_issue(x):
@@ -176,7 +183,7 @@ def _with_issue(x):
 define("ml_tfidf_patch", lambda x: _nonzero(_text_model(x, x.patches.select("patch_id", "patch"), "patch", learn.PATCH_TOKEN), "features"))
 define("ml_tfidf_issue", lambda x: _nonzero(_text_model(x, _with_issue(x), "problem_statement", learn.ISSUE_TOKEN), "features"))
 define("ml_tfidf_body", lambda x: _nonzero(_text_model(x, diff.body_text(x.patches), "body", learn.PATCH_TOKEN), "features"))
-define("ml_tfidf_paths", lambda x: _nonzero(_text_model(x, diff.paths_text(x.lines, x.patches), "paths", learn.PATCH_TOKEN), "features"))
+define("ml_tfidf_paths", lambda x: _nonzero(_text_model(x, diff.paths_text(x.lines, x.patches), "paths", learn.ISSUE_TOKEN), "features"))
 
 
 def _sized(x):
@@ -188,48 +195,96 @@ _size_sql = "select patch_id, split, " + ", ".join(f"len(list_filter(string_spli
 define("ml_scaler", lambda x: _sized(x).select("patch_id", F.round("lines_added", 6).alias("lines_added"), F.round("hunks", 6).alias("hunks")), f"select patch_id, round((lines_added - (select avg(lines_added) from ({_size_sql}) where split = 'train')) / (select coalesce(nullif(stddev_pop(lines_added), 0), 1) from ({_size_sql}) where split = 'train'), 6) as lines_added, round((hunks - (select avg(hunks) from ({_size_sql}) where split = 'train')) / (select coalesce(nullif(stddev_pop(hunks), 0), 1) from ({_size_sql}) where split = 'train'), 6) as hunks from ({_size_sql})")
 
 
-@query("ml_logreg")
-def _logreg(x):
-    """Probability of each labelled patch from its size features."""
-    rows = learn.stack(_sized(x), SIZES)
-    return learn.logistic(rows.filter("split = 'train'"), rows).select("patch_id", "split", "score")
+def _fitted(rows, features: str = "features"):
+    """Probability of every labelled patch from a model of the train split."""
+    return learn.logistic(rows.filter("split = 'train'"), rows, features).select("patch_id", "split", "score")
+
+
+def _combined(x):
+    """Patch terms, issue terms and scaled sizes in one vector."""
+    patch = _text_model(x, x.patches.select("patch_id", "patch"), "patch", learn.PATCH_TOKEN).select("patch_id", "split", "label", F.col("features").alias("f_patch"))
+    issue = _text_model(x, _with_issue(x), "problem_statement", learn.ISSUE_TOKEN).select("patch_id", F.col("features").alias("f_issue"))
+    return learn.stack(patch.join(issue, "patch_id").join(_sized(x).select("patch_id", *SIZES), "patch_id"), ["f_patch", "f_issue", *SIZES], "wide")
+
+
+def _ruled(x, sizes: bool = False):
+    """The fifteen rule features (and the sizes), scaled on train."""
+    rows = _labelled(x).select("patch_id", "instance_id", "submission", "repo", "split", "label").join(heuristics.features(x.lines, x.patches, x.issues), "patch_id")
+    columns = [*rules.FEATURES, *(SIZES if sizes else [])]
+    if sizes:
+        rows = rows.join(diff.size_features(x.patches), "patch_id").withColumns({c: F.col(c).cast("double") for c in SIZES})
+    return learn.scaled(rows.filter("split = 'train'"), rows, columns)
+
+
+define("ml_logreg", lambda x: _fitted(learn.stack(_sized(x), SIZES)))
+define("ml_model_a", lambda x: _fitted(_text_model(x, x.patches.select("patch_id", "patch"), "patch", learn.PATCH_TOKEN)))
+define("ml_model_b", lambda x: _fitted(_text_model(x, _with_issue(x), "problem_statement", learn.ISSUE_TOKEN)))
+define("ml_model_e", lambda x: _fitted(_combined(x), "wide"))
+define("ml_model_a2", lambda x: _fitted(_text_model(x, diff.body_text(x.patches), "body", learn.PATCH_TOKEN)))
+define("ml_model_a3", lambda x: _fitted(_text_model(x, diff.paths_text(x.lines, x.patches), "paths", learn.ISSUE_TOKEN)))
+define("ml_model_h2", lambda x: _fitted(learn.stack(_ruled(x), rules.FEATURES)))
+define("ml_model_h3", lambda x: _fitted(learn.stack(_ruled(x, True), [*rules.FEATURES, *SIZES])))
+
+
+@query("ml_model_h1")
+def _single(x):
+    """Each rule feature alone, its direction fitted on train: one model for each of the fifteen."""
+    rows = _ruled(x).persist()
+    out = None
+    for name in rules.FEATURES:
+        one = _fitted(learn.stack(rows.select("patch_id", "split", "label", name), [name])).withColumn("feature", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 define("ml_repo_prior", lambda x: learn.prior(_labelled(x).filter("split = 'train'"), _labelled(x).select("patch_id", "repo"), "repo").select("patch_id", F.round("score", 9).alias("score")), f"select patch_id, round(coalesce(m, (select avg(resolved) from ({_known}) where split = 'train')), 9) as score from ({_known}) p left join (select repo, avg(resolved) as m from ({_known}) where split = 'train' group by 1) s on s.repo = p.repo")
-define("ml_hstack", lambda x: _nonzero(learn.stack(_text_model(x, x.patches.select("patch_id", "patch"), "patch", learn.PATCH_TOKEN).join(_sized(x).select("patch_id", *SIZES), "patch_id"), ["features", *SIZES], "wide"), "wide"))
-define("ml_loro", lambda x: learn.leave_one_out(learn.stack(_sized(x), SIZES), "repo").select("patch_id", "fold", "score"))
+define("ml_hstack", lambda x: _nonzero(_combined(x), "wide"))
+
+
+@query("ml_loro")
+def _loro(x):
+    """Patch terms, fitted anew without each repository in turn."""
+    rows = _labelled(x).select("patch_id", "repo", "label", "patch")
+    return learn.leave_one_out(rows, "repo", prepare=lambda train, part: learn.tfidf(train, part, "patch", learn.PATCH_TOKEN, "features"))
 
 
-@query("ml_loso")
-def _loso(x):
-    """Leave one group of submissions out, with no instance on both sides."""
-    rows = learn.stack(_sized(x), SIZES).withColumn("agent", F.expr("pmod(hash(submission), 3)"))
-    return learn.leave_one_out(rows, "agent", also="instance_id").select("patch_id", "fold", "score")
+define("ml_loso", lambda x: learn.leave_one_out(learn.stack(_sized(x), SIZES), "submission", also="instance_id"))
 
 
 @query("ml_group_cv")
 def _group_cv(x):
     rows = learn.stack(_sized(x), SIZES)
     rows = rows.join(F.broadcast(learn.folds(rows, "submission", 3, "42")), "submission").withColumnRenamed("fold", "part")
-    return learn.leave_one_out(rows, "part").select("patch_id", "fold", "score")
+    return learn.leave_one_out(rows, "part")
 
 
-_sizes = f"select patch_id, split, resolved as label, {_count(_added)} as lines_added, {_count(_removed)} as lines_removed, {_count(_added)} + {_count(_removed)} as lines_changed, {_count(_FILES_LIKE)} as files_touched, {_count(_HUNKS_LIKE)} as hunks from patches where resolved is not null and split = 'train'"
-_scaled = ", ".join(f"round(avg({c}), 6) as {c}" for c in SIZES)
 
 
-@query("ml_sign_check", f"select label::double as label, {_scaled} from (select label, " + ", ".join(f"({c} - avg({c}) over ()) / coalesce(nullif(stddev_pop({c}) over (), 0), 1) as {c}" for c in SIZES) + f" from ({_sizes})) group by 1")
+@query("ml_sign_check")
 def _sign(x):
-    """Direction of each size feature alone: mean by label on train."""
-    rows = _sized(x).filter("split = 'train'")
-    return rows.groupBy("label").agg(*[F.round(F.avg(c), 6).alias(c) for c in SIZES])
+    """Two features alone: the weight fitted on train and the within-instance area it reaches on val and test."""
+    rows = _labelled(x).select("patch_id", "instance_id", "split", "label").join(heuristics.features(x.lines, x.patches, x.issues).select("patch_id", "scope_creep_count", "fraction_touched_named"), "patch_id").persist()
+    out = None
+    for name in ("scope_creep_count", "fraction_touched_named"):
+        one = learn.stack(rows, [name])
+        weight = learn.coefficients(one.filter("split = 'train'"))[0]
+        scored = learn.logistic(one.filter("split = 'train'"), one).filter("split <> 'train'").select(F.col("split").alias("model"), "instance_id", "label", "score")
+        areas = metrics.within_auc(scored).select(F.lit(name).alias("feature"), F.lit(round(weight, 6)).alias("train_coef"), F.col("model").alias("split"), "within_auc", "n_instances")
+        out = areas if out is None else out.unionByName(areas)
+    return out
 
 
 @query("ml_origin_probe")
 def _origin(x):
-    """Accuracy of telling a patch's repository from its size features."""
-    rows = learn.stack(_sized(x), SIZES).withColumn("origin", F.expr("double(array_position(array('de', 'en', 'es', 'fr'), repo) - 1)"))
-    return learn.multinomial(rows, rows, "origin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.expr("case when predicted = origin then 1D else 0D end")), 6).alias("accuracy"))
+    """How well rule features of the test split tell the submission, beside chance and the most frequent one's share."""
+    rows = learn.stack(_ruled(x), rules.FEATURES)
+    names = sorted(r[0] for r in rows.select("submission").distinct().limit(learn.MOST_GROUPS + 1).collect() if r[0] is not None)
+    if len(names) > learn.MOST_GROUPS:
+        raise ValueError("too many submissions to tell apart")
+    rows = rows.withColumn("origin", F.expr("double(array_position(array(" + ", ".join(f"'{n}'" for n in names) + "), submission) - 1)")).filter("origin is not null")
+    test = learn.multinomial(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "origin")
+    most = test.groupBy("origin").agg(F.count(F.lit(1)).alias("k")).agg(F.max("k").alias("most"))
+    return test.agg(F.count(F.lit(1)).alias("n"), F.avg(F.expr("case when predicted = origin then 1D else 0D end")).alias("a")).crossJoin(F.broadcast(most)).select("n", F.round("a", 6).alias("accuracy"), F.lit(round(1 / max(len(names), 1), 6)).alias("chance"), F.round(F.col("most") / F.col("n"), 6).alias("majority"))
 
 
 _unsafe = r">=\s*0|==\s*None|is\s*None|!=\s*None|>\s*0"

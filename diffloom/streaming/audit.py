@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from diffloom.operators import diff, injection, security, verdict
 
 
 def audit(patches: DataFrame) -> DataFrame:
-    """(patch_id, verdict, exit_code) of (patch_id, patch)."""
-    lines = diff.diff_lines(patches)
-    findings = verdict.all_findings(security.scan_patches(lines), injection.scan_comments(diff.comment_segments(lines)))
-    return verdict.verdicts(findings, patches)
+    """(patch_id, verdict, exit_code) of (patch_id, patch[, problem_statement]); the issue's text is audited where the column is there."""
+    lines = diff.diff_lines(patches.select("patch_id", "patch"))
+    injected = injection.scan_comments(diff.comment_segments(lines)).drop("source")
+    if "problem_statement" in patches.columns:
+        found = injection.scan_texts(patches.select(F.col("patch_id").alias("text_id"), F.col("problem_statement").alias("text")))
+        injected = injected.unionByName(verdict.issue_layer(found, patches.select("patch_id", F.col("patch_id").alias("instance_id"))))
+    return verdict.verdicts(verdict.all_findings(security.scan_patches(lines), injected), patches)
 
 
 def audit_stream(patches: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append the verdicts of a streaming (patch_id, patch) to Parquet under `out`.
+    """Append the verdicts of a streaming (patch_id, patch[, problem_statement]) to Parquet under `out`.
 
     Each batch writes its own folder, named by its number and overwritten when
     the batch is run again, so a restart never doubles rows.
