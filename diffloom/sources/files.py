@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +14,16 @@ CORPUS = {"submission": "string", "instance_id": "string", "repo": "string", "sp
 TRAINING = ["problem_statement", "patch", "label"]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files that all executors see: below spark.checkpoint.dir, or a temporary one for a local master."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if top is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InputError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="diffloom-")
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
 class InputError(ValueError):
     """An input that is missing, blank or not text."""
 
@@ -80,7 +95,8 @@ def split_manifest(spark: SparkSession, path: str, split: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    """Quoted where needed, white space at the ends of fields kept."""
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -98,3 +114,24 @@ def write_markdown(df: DataFrame, path: str, title: str) -> None:
     """One overwritten Markdown file; writing again leaves one copy of the section."""
     text = f"# {title}\n\n{markdown_table(df)}"
     df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def append_markdown(df: DataFrame, path: str, title: str) -> None:
+    """Add a section to a Markdown report, or put it in the place of the section of that title; the rest stays."""
+    spark = df.sparkSession
+    section = f"## {title}\n\n{markdown_table(df)}"
+    try:
+        before = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()).rstrip("\n")  # a report, a few pages
+    except AnalysisException:  # no report yet
+        before = ""
+    found = re.compile(rf"(?ms)^## {re.escape(title)}\n.*?(?=^## |\Z)")
+    text = found.sub(lambda _: section + "\n", before, count=1).rstrip("\n") if found.search(before) else f"{before}\n\n{section}".strip("\n")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def list_dirs(spark: SparkSession, path: str) -> DataFrame:
+    """(name) of the folders right below path, hidden ones left out; works on any store."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = top.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(top)
+    names = sorted(s.getPath().getName() for s in found if s.isDirectory() and not s.getPath().getName().startswith((".", "_")))
+    return spark.createDataFrame([(n,) for n in names], "name string")
