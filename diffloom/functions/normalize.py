@@ -18,6 +18,7 @@ _CONTROLS = re.compile(rules.CONTROLS)
 _FOLD = str.maketrans(rules.HOMOGLYPH_PAIRS)
 _LEET = str.maketrans(rules.LEET)
 _BASE64 = re.compile(rules.BASE64)
+_INJECTIONS = [re.compile(p, re.IGNORECASE) for _, p, _ in rules.INJECTIONS]
 _COMMENT = re.compile(rules.COMMENT, re.DOTALL)
 
 
@@ -84,9 +85,9 @@ def line_udf(texts: pd.Series, kinds: pd.Series, patterns: pd.Series) -> pd.Seri
     """First line whose own normalised form matches the numbered injection pattern, else 1."""
 
     def find(text: str, kind: str, number: int) -> int:
-        rule = re.compile(rules.INJECTIONS[number][1], re.IGNORECASE)
+        rule, leet = _INJECTIONS[number], kind.endswith("leet")
         for at, line in enumerate((text or "").splitlines(), 1):
-            if normalized(line) and rule.search(normalized(line, kind.endswith("leet"))):
+            if line and rule.search(normalized(line, leet)):
                 return at
         return 1
 

@@ -79,3 +79,32 @@ def test_tfidf_weights(spark):
 def test_scaling_leaves_constants(spark):
     rows = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "x double, y double")
     assert sorted((r.x, r.y) for r in learn.scaled(rows, rows, ["x", "y"]).collect()) == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_bootstrap_on_resampled_rows(spark):
+    """Against the same md5 draws in plain Python, rows repeated as often as their instance is drawn."""
+    import hashlib
+
+    rng = random.Random(11)
+    rows = [(i % 9, rng.randint(0, 1), rng.randint(0, 5) / 5) for i in range(50)]
+    got = metrics.bootstrap_auc(scored(spark, rows), rounds=40).first()
+    ids, areas = sorted({g for g, _, _ in rows}), []
+    for b in range(40):
+        drawn = [ids[int(hashlib.md5(f"42|{b}|{j}".encode()).hexdigest()[:8], 16) % len(ids)] for j in range(len(ids))]
+        some = [(y, p) for g in drawn for k, y, p in rows if k == g]
+        if len({y for y, _ in some}) == 2:
+            areas.append(pair_auc(some))
+    import numpy as np
+
+    assert got.rounds == len(areas)
+    assert (got.ci_low, got.ci_high) == pytest.approx(tuple(np.percentile(areas, [2.5, 97.5])), abs=1e-8)
+
+
+def test_prefixes_in_two_levels(spark):
+    rng = random.Random(12)
+    rows = [(0, rng.randint(0, 1), rng.choice([0.5, rng.random()])) for _ in range(300)]
+    got = {r.id: (r.n, r.tp, r.fp) for r in metrics.cumulative(scored(spark, rows), parts=7).collect()}
+    tp = fp = 0
+    for n, (i, (_, y, _)) in enumerate(sorted(enumerate(rows), key=lambda r: (-r[1][2], r[0])), 1):
+        tp, fp = tp + y, fp + 1 - y
+        assert got[i] == (n, tp, fp)
