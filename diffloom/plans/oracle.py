@@ -96,7 +96,7 @@ def relations() -> dict[str, str]:
         f"select patch_id, '{r}' as rule_id, {k} as pattern, pos, file, line_no as line, 'Prompt injection ({w}): ' || substr({D.extract('norm', p, 0, 'i')}, 1, 120) as evidence from (select *, {norm.format(t='content')} as norm from segments) where {D.matches('norm', p, 'i')}" for k, (r, p, w) in enumerate(rules.INJECTIONS)
     )
     out["injection"] = "select patch_id, rule_id, 'HIGH' as severity, 'comment' as source, file, line, evidence, cast(pos * 100000 + pattern as bigint) as ord from (select *, row_number() over (partition by patch_id, pos, rule_id order by pattern) as n from injection_raw) where n = 1"
-    out["findings"] = "select patch_id, rule_id, severity, file, line, evidence, 0 as layer, ord from security union all select patch_id, rule_id, severity, null, line, evidence, 1, 0 from patches p join text_injection t on t.text_id = 10 * p.instance_id union all select patch_id, rule_id, severity, file, line, evidence, 2, ord from injection"
+    out["findings"] = "select patch_id, rule_id, severity, file, line, evidence, 0 as layer, ord from security union all select patch_id, t.rule_id, 'HIGH', null, cast(coalesce(l.line, 1) as integer), evidence, 1, vord * 100 + pattern from patches p join text_first t on t.text_id = 10 * p.instance_id left join text_places l on l.text_id = t.text_id and l.rule_id = t.rule_id union all select patch_id, rule_id, severity, file, line, evidence, 2, ord from injection"
     # Texts: the plain and leet forms, and payloads in base64; enough for texts without entities, accents or look-alikes.
     leet = f"translate({{t}}, {D.text(''.join(rules.LEET))}, '{''.join(rules.LEET.values())}')"
     packed = f"regexp_replace(unnest(regexp_extract_all(text, {D.text(rules.BASE64)})), '\\s+', '', 'g')"

@@ -248,12 +248,14 @@ define("heur_fire", lambda x: heuristics.fire(x.lines, x.patches, x.issues), "se
 define("win_dedup_first", lambda x: six(verdict.deduplicate(x.findings)), f"select {SIX} from (select *, row_number() over (partition by patch_id, rule_id, file, line, evidence order by layer, ord, severity) as n from findings) where n = 1")
 define("agg_dedup_count", lambda x: verdict.duplicates(x.findings), "select patch_id, count(*) - count(distinct (rule_id, file, line, evidence)) as collapsed from findings group by 1")
 V = verdict
-define(
-    "agg_verdict",
-    lambda x: verdict.verdicts(x.findings, x.patches),
-    f"""select p.patch_id, case when high and inj then '{V.MANUAL} {V.INJECTED}' when high then '{V.MANUAL}' when inj and med then '{V.RISKY} {V.INJECTED}' when inj then '{V.INJECTED}' when med then '{V.RISKY}' when low then '{V.NOTES}' else '{V.CLEAN}' end as verdict,
+_verdicts = f"""select p.patch_id, case when high and inj then '{V.MANUAL} {V.INJECTED}' when high then '{V.MANUAL}' when inj and med then '{V.RISKY} {V.INJECTED}' when inj then '{V.INJECTED}' when med then '{V.RISKY}' when low then '{V.NOTES}' else '{V.CLEAN}' end as verdict,
     case when high then 2 when inj or med then 1 else 0 end as exit_code from patches p left join (select patch_id, bool_or(rule_id like 'INJ%') as inj, bool_or(rule_id not like 'INJ%' and upper(severity) in ('HIGH', 'CRITICAL')) as high,
-    bool_or(rule_id not like 'INJ%' and upper(severity) = 'MEDIUM') as med, bool_or(rule_id not like 'INJ%' and upper(severity) in ('LOW', 'REVIEW')) as low from findings group by 1) f on f.patch_id = p.patch_id""",
-)
-define("sink_audit_json", lambda x: verdict.audit_json(x.findings, x.patches))
+    bool_or(rule_id not like 'INJ%' and upper(severity) = 'MEDIUM') as med, bool_or(rule_id not like 'INJ%' and upper(severity) in ('LOW', 'REVIEW')) as low from findings group by 1) f on f.patch_id = p.patch_id"""
+define("agg_verdict", lambda x: verdict.verdicts(x.findings, x.patches), _verdicts)
+_kept = "(select * from findings qualify row_number() over (partition by patch_id, rule_id, file, line, evidence order by layer, ord, severity) = 1)"
+_entry = "'{\"rule_id\":' || to_json(rule_id) || ',\"severity\":' || to_json(severity) || case when file is null then '' else ',\"file\":' || to_json(file) end || ',\"line\":' || line || ',\"evidence\":' || to_json(evidence) || '}'"
+_listed = f"select patch_id, count(*) as n, string_agg({_entry}, ',' order by layer, ord, rule_id, severity) as entries from {_kept} group by 1"
+_collapsed = "select patch_id, count(*) - count(distinct (rule_id, file, line, evidence)) as k from findings group by 1"
+_payload = f"""'{{"verdict":' || to_json(verdict) || ',"exit_code":' || exit_code || ',"security":"ok","injection":"ok","findings":[' || coalesce(entries, '') || '],"duplicates_collapsed":' || coalesce(k, 0) || ',"experimental":"NOT RUN (no model installed)","footer":' || to_json('{V.FOOTER}') || '}}'"""
+define("sink_audit_json", lambda x: verdict.audit_json(x.findings, x.patches), f"select v.patch_id, coalesce(n, 0) as n_findings, {_payload} as payload from ({_verdicts}) v left join ({_listed}) l on l.patch_id = v.patch_id left join ({_collapsed}) c on c.patch_id = v.patch_id")
 define("sink_audit_text", lambda x: six(verdict.deduplicate(x.findings)).withColumn("evidence", F.substring("evidence", 1, 120)), f"select patch_id, rule_id, severity, file, line, substr(evidence, 1, 120) as evidence from (select *, row_number() over (partition by patch_id, rule_id, file, line, evidence order by layer, ord, severity) as n from findings) where n = 1")
