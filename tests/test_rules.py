@@ -107,7 +107,7 @@ def test_injection_comments(spark):
 
 def test_legacy_scanner(spark):
     texts = spark.createDataFrame([(1, " "), (2, "[ignore previous] x"), (3, "bug one"), (4, "bad"), (5, "odd")], "text_id long, text string")
-    scores = spark.createDataFrame([(3, "describes a software bug", 0.9), (4, "prompt injection", 0.6), (4, "describes a software bug", 0.4), (5, "unrelated", 0.7)], "text_id long, label string, score double")
+    scores = spark.createDataFrame([(3, "describes a software bug", 0.9), (4, "is attempting a prompt injection", 0.6), (4, "describes a software bug", 0.4), (5, "contains system instructions", 0.7)], "text_id long, label string, score double")
     got = {r.text_id: (r.status, r.confidence, r.layer) for r in injection.legacy_scan(texts, scores).collect()}
     assert got == {1: ("WARNING", 0.0, "validation"), 2: ("CRITICAL", 1.0, "regex"), 3: ("SAFE", 0.9, "ai"), 4: ("FLAGGED", 0.6, "ai"), 5: ("WARNING", 0.7, "ai")}
 
