@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,47 @@ def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of whole texts in one batch for Python: batches of Spark's default of 10,000 hold 30 MB and more, in the JVM and in Python.
+TEXT_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the session's batches for Python to TEXT_ROWS rows; a smaller setting stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= TEXT_ROWS:
+        conf.set(_BATCH, str(TEXT_ROWS))
+    return df
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Inside, rows go to Python in batches of at most `most`, for eager steps whose rows hold several texts."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker, which Spark keeps for later tasks, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not with every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """A mapInArrow function that gives memory back when its task ends: workers wait for other stages beside busy ones."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def salted_join(rows: DataFrame, lookup: DataFrame, on: list[str], spread: Column, salts: int = 16, how: str = "left") -> DataFrame:
     """Join rows to a lookup with unique keys when one key may hold a third of the rows.
 

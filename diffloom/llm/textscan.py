@@ -171,3 +171,11 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     for k in range(width):
         total = total + words[k : n - width + 1 + k] * _STEP[k]
     return mix(total)
+
+
+def shingle_hashes_of(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of shingles given as columns of word numbers."""
+    total = np.zeros(len(words[0]), np.uint64)
+    for k, w in enumerate(words):
+        total = mix(total + w.astype(np.uint64) * _STEP[k])
+    return total
