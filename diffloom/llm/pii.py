@@ -13,7 +13,7 @@ counts: patterns and features have few values, so what reaches the driver is
 bounded by their product, not by the corpus.  The classifier then runs inside
 the scan as an expression.
 
-The texts are scanned once: what is kept of each row are its spans with the
+scan() reads the texts once: what it keeps of each row are its spans with the
 words before them (back to the last match of the kind, BEFORE characters at
 most), from which both the model and the answers are made.  The fixed kinds'
 spans get the classifier's probability, too, but stay whatever it says.
@@ -92,10 +92,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.withColumn("_extra", F.expr(f"transform(_extra, m -> named_struct('start', m.start, 'end', m.end, 'value', m.value, 'before', m.before, 'after', m.after, 'kind', {kind}))"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """candidates(), written to the shared folder; without keep only the ids and the spans, else text and columns, too."""
-    found = candidates(docs, id_col, text_col, keep or ())
-    return cut(found if keep is not None else found.drop("_text"))
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """candidates() without the texts, written to the shared folder: few rows have spans."""
+    return cut(candidates(docs, id_col, text_col).drop("_text"))
 
 
 def _described(spans: str) -> str:
@@ -211,8 +210,9 @@ def _tagged(k: str) -> str:
 
 
 def train(scanned: DataFrame) -> Model:
-    """Fit on every candidate of every row of scan()."""
-    spans = scanned.select(F.expr(f"concat({', '.join(map(_tagged, [*KINDS, 'extra']))})").alias("_all")).filter("size(_all) > 0").select(F.explode(F.expr(_described("_all"))).alias("s"))
+    """Fit on every candidate of every row of scan() or candidates()."""
+    # Outer, as an inner explode adds a filter on the array, for which Spark would scan every text twice.
+    spans = scanned.select(F.expr(f"concat({', '.join(map(_tagged, [*KINDS, 'extra']))})").alias("_all")).select(F.explode_outer(F.expr(_described("_all"))).alias("s")).filter("s is not null")
     groups = spans.groupBy(F.col("s.votes").alias("votes"), *[F.col(f"s.f.{n}").cast("string").alias(n) for n in FEATURES]).agg(F.count(F.lit(1)).alias("n")).collect()
     groups = sorted(groups, key=lambda r: (list(r["votes"]), [r[n] for n in FEATURES]))
     patterns: dict[tuple[int, ...], int] = {}
@@ -264,11 +264,11 @@ def pii_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def redact_pii(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """docs, with a null text empty, with every span of text replaced by its kind in brackets; spans that overlap become one.
 
-    Without a model one is fitted to docs; either way the texts are scanned once.
+    Without a model one is fitted to docs, which scans the texts once more:
+    keeping them beside their spans would write the whole input again.
     """
     keep = tuple(c for c in docs.columns if c not in (id_col, text_col))
-    scanned = scan(docs, id_col, text_col, keep) if model is None else candidates(docs, id_col, text_col, keep)
-    found = _judged(scanned, model or train(scanned), least)
+    found = _judged(candidates(docs, id_col, text_col, keep), model or train(candidates(docs, id_col, text_col)), least)
     spans = f"array_sort(transform(concat({', '.join(f'_{k}' for k in [*KINDS, 'extra'])}), m -> named_struct('start', m.start, 'end', m.end, 'kind', m.kind)))"
     found = found.withColumn("_spans", F.expr(spans))
     found = found.withColumn("_over", F.expr(running("_spans", "struct<start:int,end:int,kind:string>", "named_struct('start', x.start, 'end', greatest(x.end, y.end), 'kind', x.kind)")))
