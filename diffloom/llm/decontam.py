@@ -102,12 +102,12 @@ def _leading(items: DataFrame, percent: int) -> DataFrame:
 
 
 def _starts(percent: int) -> str:
-    """SQL: the starts of the windows in which the item's shingles weigh enough; reads hashes, weighted, heavy and width.
+    """SQL: the starts of the windows in which the item's shingles weigh enough; reads hashes, ones (weights by shingle), heavy and width.
 
     The weights of the places that hold one of the item's shingles are summed
     up once; a window's weight is the difference of two sums.
     """
-    places = "transform(hashes, h -> named_struct('at', coalesce(element_at(map_from_entries(transform(weighted, p -> named_struct('k', p.h, 'v', p.one))), h), 0L)))"
+    places = "transform(hashes, h -> named_struct('at', coalesce(element_at(ones, h), 0L)))"
     sums = running(f"concat(array(named_struct('at', 0L)), {places})", "struct<at:bigint>", "named_struct('at', x.at + y.at)")
     reach = f"filter(sequence(0, greatest(size(s) - 1 - width, 0)), i -> 100 * (s[least(i + width, size(s) - 1)].at - s[i].at) >= {percent} * heavy)"
     return let(sums, "s", reach)
@@ -125,7 +125,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # Outer explodes below: an inner one would add a filter on the array, which Spark pushes down by computing the words anew inside the shingles.
 
     # Documents and items that share a leading shingle, in blocks of shingles of a checked size.
-    leading = cut(_leading(items, percent))
+    leading = cut(_leading(items, percent), narrow=True)
     n = leading.count()
     parts = max(1, -(-n // seed_block))
     pairs = None
@@ -133,15 +133,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         some = F.broadcast(leading if parts == 1 else leading.filter(F.pmod("h", F.lit(parts)) == k))
         hit = _shingled(texts, "doc").select("doc", "doc_v", F.explode_outer("hashes").alias("h")).join(some, "h").select("doc", "doc_v", "item", "item_v").distinct()
         pairs = hit if pairs is None else pairs.union(hit).distinct()
-    pairs = cut(pairs)
+    pairs = cut(pairs, narrow=True)
 
     # Windows: every place of such a document where such an item could be.
     marked = cut(_shingled(by_ids(texts, pairs.select("doc").distinct(), "doc"), "doc").dropDuplicates(["doc", "doc_v"]))
     small = items.count() <= seed_block
-    known = items.select("item", "item_v", "size", "weighted", "heavy", F.greatest(F.lit(1), F.col("size") - (SHINGLE - 1)).alias("width"))
+    known = items.select("item", "item_v", "size", F.map_from_arrays("weighted.h", "weighted.one").alias("ones"), "heavy", F.greatest(F.lit(1), F.col("size") - (SHINGLE - 1)).alias("width"))
     placed = marked.join(pairs, ["doc", "doc_v"]).join(F.broadcast(known) if small and shingles <= seed_block else known, ["item", "item_v"])
     placed = placed.select("doc", "doc_v", "item", "item_v", "size", F.explode_outer(F.expr(_starts(percent))).alias("start")).filter("start is not null")
-    placed = cut(placed)
+    placed = cut(placed, narrow=True)
 
     # Fingerprints of the windows.
     windows = placed.select("doc", "doc_v", "start", "size").distinct()
@@ -161,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     probes = prints.select(*place, "sim", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), key(b).alias("key")) for b in range(blocks)])).alias("e"))
     probes = probes.select(*place, "sim", F.col("e.block").alias("block"), F.col("e.key").alias("key"))
     near = probes.join(index, ["block", "key", "size"]).filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("isim"))) <= radius)
-    near = cut(near.select(*place, "item", "item_v").union(placed.select(*place, "item", "item_v")).distinct())
+    near = cut(near.select(*place, "item", "item_v").union(placed.select(*place, "item", "item_v")).distinct(), narrow=True)
 
     # Exact weighted similarity of each such window and item.
     sums = "aggregate({a}, 0L, (s, p) -> s + p.w)"
