@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches, trimmed
+
 #: White space as the split pattern knows it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 LETTER = "A-Za-z0-9\\u00c0-\\u00d6\\u00d8-\\u00f6\\u0400-\\u0481\\u05d0-\\u05ea\\u0620-\\u063f\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3"
@@ -91,7 +93,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     round_trip tells that the decoded bytes are those of the text.
     """
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"_k{i}") for i, c in enumerate(keep)])
+    source = text_batches(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"_k{i}") for i, c in enumerate(keep)])
     kinds = [f.dataType.simpleString() for f in source.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,5 +121,5 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     schema = f"id {kinds[0]}" + "".join(f", _k{i} {kinds[2 + i]}" for i in range(len(keep)))
     schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + (", token_ids array<int>" if keep_ids else "")
-    out = source.mapInArrow(run, schema)
+    out = source.mapInArrow(trimmed(run), schema)
     return out.select(F.col("id").alias(id_col), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *[c for c in out.columns if c != "id" and not c.startswith("_k")])

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, text_batches, trimmed
 from .linear import bounded_sample, decision, fit_platt, fit_svms, histogram, pack_rows, sigmoid, unpack_rows
 
 #: Language families.
@@ -137,7 +137,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     The sample's histograms, of a fixed number of places, meet in one task,
     which fits the model; its bound is most_rows, or 8 rows a language.
     """
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
+    rows = text_batches(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.filter(~held_out("id", folds, fold) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sample, most, counts = bounded_sample(rows, "lang", per_language, "id", "language", most_rows)
     if not counts:
@@ -153,18 +153,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         table = pa.Table.from_batches(list(batches))
         if table.num_rows:
             table = table.sort_by([("key", "ascending"), ("lang", "ascending")]).combine_chunks()
-            x = unpack_rows(table["places"], table["filled"], SIZE)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(x, table["lang"].to_pylist()))], pa.binary())], ["model"])
+            model = fit(unpack_rows(table["places"], table["filled"], SIZE), table["lang"].to_pylist())
+            del table
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     key = F.concat_ws(" ", F.col("id").cast("string"), F.xxhash64("text").cast("string")).alias("key")
-    made = sample.select(key, "lang", "text").mapInArrow(features, "key string, lang string, places binary, filled binary")
-    found = made.limit(most).repartition(1).mapInArrow(learn, "model binary").collect()
+    made = sample.select(key, "lang", "text").mapInArrow(trimmed(features), "key string, lang string, places binary, filled binary")
+    found = made.limit(most).repartition(1).mapInArrow(trimmed(learn), "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit(np.zeros((0, SIZE), np.float32), [])
 
 
 def _identified(docs: DataFrame, model: Model, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """(_id, lang_pred, score, _k0..): the prediction beside the kept columns under names of their own."""
-    spread = docs.select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), *[docs[c].alias(f"_k{i}") for i, c in enumerate(keep)])
+    spread = text_batches(docs).select(docs[id_col].alias("_id"), docs[text_col].cast("string").alias("_text"), *[docs[c].alias(f"_k{i}") for i, c in enumerate(keep)])
     fields = [f.dataType.simpleString() for f in spread.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +178,7 @@ def _identified(docs: DataFrame, model: Model, id_col: str, text_col: str, keep:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(np.where(lang == "und", 0.0, score), pa.float64()), *extra], ["_id", "lang_pred", "score", *[f"_k{i}" for i in range(len(extra))]])
 
     schema = f"_id {fields[0]}, lang_pred string, score double" + "".join(f", _k{i} {fields[2 + i]}" for i in range(len(keep)))
-    return spread.mapInArrow(run, schema)
+    return spread.mapInArrow(trimmed(run), schema)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import cut, held_out, text_batches, trimmed
 from .textscan import mix, scan
 
 HEAD = 1 << 18
@@ -268,7 +268,7 @@ def word_table(docs: DataFrame, folds: int, fold: int) -> DataFrame:
     learned = ~held_out("id", folds, fold)
     aside = F.pmod(F.xxhash64(F.lit("aside"), F.col("id").cast("string"), "text"), F.lit(10)) == 0
     rows = docs.select("text", learned.alias("train"), (learned & aside).alias("aside"))
-    words = rows.mapInArrow(run, "h long, g long, word binary, c long, dev long, seen long")
+    words = rows.mapInArrow(trimmed(run), "h long, g long, word binary, c long, dev long, seen long")
     return words.groupBy("h", "g", "word").agg(F.sum("c").alias("c"), F.sum("dev").alias("dev"), F.sum("seen").alias("seen"))
 
 
@@ -291,7 +291,7 @@ def train(words: DataFrame, ends: int, path: str, steps: int = STEPS, vocabulary
                 used = np.flatnonzero(all_uses)
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1).astype(np.int32)), pa.array(np.append(all_uses[used], gain)), pa.array(np.append(part_uses[used], 0.0))], ["piece", "uses", "part"])
 
-        got = words.filter("c > 0").select("word", "c", "dev").mapInArrow(run, "piece int, uses double, part double").groupBy("piece").agg(F.sum("uses").alias("uses"), F.sum("part").alias("part")).collect()
+        got = words.filter("c > 0").select("word", "c", "dev").mapInArrow(trimmed(run), "piece int, uses double, part double").groupBy("piece").agg(F.sum("uses").alias("uses"), F.sum("part").alias("part")).collect()
         uses, part = np.zeros(len(pieces)), np.zeros(len(pieces))
         gain = 0.0
         for row in got:
@@ -326,7 +326,7 @@ def frequent(words: DataFrame, most: int) -> DataFrame:
 
 def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, fold: int = 1, head: int = HEAD) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row of docs."""
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    rows = text_batches(docs).select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     words = cut(word_table(rows, folds, fold))
     ends = rows.filter(~held_out("id", folds, fold)).count()
@@ -340,7 +340,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(scorer.score(batch.column(2)) / np.log(10))], ["h", "g", "c", "seen", "lp"])
 
-    scored = cut(words.select("h", "g", "word", "c", "seen").mapInArrow(score_words, "h long, g long, c long, seen long, lp double"))
+    scored = cut(words.select("h", "g", "word", "c", "seen").mapInArrow(trimmed(score_words), "h long, g long, c long, seen long, lp double"))
     top = frequent(scored, head).toArrow()
     order = np.argsort(top["h"].to_numpy())
     head_h, head_g, head_c, head_lp = (top[k].to_numpy()[order] for k in ("h", "g", "c", "lp"))
@@ -363,7 +363,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows_n), pa.array(part.counts.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), tail], ["id", "n", "known", "base", "lp", "tail"])
                 at += rows_n
 
-    split = cut(rows.mapInArrow(parts, f"id {kind}, n long, known long, base double, lp double, tail array<struct<h:long,g:long>>").withColumn("row", F.monotonically_increasing_id()))
+    split = cut(rows.mapInArrow(trimmed(parts), f"id {kind}, n long, known long, base double, lp double, tail array<struct<h:long,g:long>>").withColumn("row", F.monotonically_increasing_id()))
     looked = split.select("row", F.inline("tail")).join(scored.select("h", "g", "c", F.col("lp").alias("word_lp")), ["h", "g"])
     looked = looked.select("row", F.lit(None).cast(kind).alias("id"), F.lit(0).cast("long").alias("n"), (F.col("c") > 0).cast("long").alias("known"), F.log10((F.col("c") + 0.5) / F.lit(float(floor))).alias("base"), F.col("word_lp").alias("lp"))
     whole = split.select("row", "id", "n", "known", "base", "lp").unionByName(looked)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, cut
+from .common import by_ids, cut, text_batches, trimmed
 from .linear import bounded_sample, decision, fit_logistic, fit_platt, histogram, pack_rows, sigmoid, unpack_rows
 from .textscan import scan
 
@@ -144,7 +144,7 @@ def surest(margin: np.ndarray, most: int, sure: float = SURE) -> list[tuple[floa
 def _inputs(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
     """(id, text, source, lang, chars)"""
     text = docs[text_col].cast("string")
-    return docs.select(docs[id_col].alias("id"), text.alias("text"), docs[source_col].cast("string").alias("source"), docs[lang_col].cast("string").alias("lang"), F.char_length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"))
+    return text_batches(docs).select(docs[id_col].alias("id"), text.alias("text"), docs[source_col].cast("string").alias("source"), docs[lang_col].cast("string").alias("lang"), F.char_length(F.coalesce(text, F.lit(""))).cast("long").alias("chars"))
 
 
 def _plain(batch: pa.RecordBatch, at: int) -> list:
@@ -163,7 +163,7 @@ def _featured(rows: DataFrame) -> DataFrame:
                 slots = pa.array(list(meta_slots(*meta)), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(4)], *pack_rows(content_features(text)), slots], ["key", "role", "y", "held", "places", "filled", "slots"])
 
-    return rows.select("key", "role", "y", "held", "text", "source", "lang", "chars").mapInArrow(run, "key string, role int, y double, held boolean, places binary, filled binary, slots array<long>")
+    return rows.select("key", "role", "y", "held", "text", "source", "lang", "chars").mapInArrow(trimmed(run), "key string, role int, y double, held boolean, places binary, filled binary, slots array<long>")
 
 
 def _fit(rows: DataFrame) -> list[tuple]:
@@ -179,7 +179,7 @@ def _fit(rows: DataFrame) -> list[tuple]:
             fitted = fit_views([x[lab] for x in views], y[lab], held[lab].astype(bool), [(x[role == k], y[role == k]) for k, x in enumerate(views)])
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fitted)], pa.binary())], ["model"])
 
-    return pickle.loads(rows.repartition(1).mapInArrow(run, "model binary").collect()[0]["model"])
+    return pickle.loads(rows.repartition(1).mapInArrow(trimmed(run), "model binary").collect()[0]["model"])
 
 
 def _candidates(pool: DataFrame, model: CoTrained, most: int, sure: float) -> DataFrame:
@@ -206,7 +206,7 @@ def _candidates(pool: DataFrame, model: CoTrained, most: int, sure: float) -> Da
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], schema=pa.schema([("view", pa.int32()), ("margin", pa.float64()), ("key", pa.string())]))
 
-    return pool.select("key", "text", "source", "lang", "chars").mapInArrow(run, "view int, margin double, key string")
+    return pool.select("key", "text", "source", "lang", "chars").mapInArrow(trimmed(run), "view int, margin double, key string")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", per_class: int = PER_CLASS, rounds: int = ROUNDS, exchange: int = EXCHANGE, sure: float = SURE) -> CoTrained:
@@ -264,4 +264,4 @@ def score_quality(docs: DataFrame, model: CoTrained, id_col: str = "doc_id", tex
                 score = content = meta = np.full(batch.num_rows, model.prior)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.float64()), pa.array(meta, pa.float64()), pa.array(score, pa.float64()), pa.array(score >= 0.5, pa.bool_())], ["_id", "content_score", "meta_score", "score", "good"])
 
-    return rows.mapInArrow(run, f"_id {kind}, content_score double, meta_score double, score double, good boolean").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(trimmed(run), f"_id {kind}, content_score double, meta_score double, score double, good boolean").withColumnRenamed("_id", id_col)

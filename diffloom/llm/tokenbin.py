@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, text_batches, trimmed
 from .textscan import same_words, scan
 
 #: (values in a word, bits of each), by selector; selector 15 is the escape.
@@ -242,7 +242,7 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 1, id_
     ordered by text.  The ids are the library's with add_special_tokens=False:
     an added token that stands in a text counts as the one id the library gives.
     """
-    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    source = text_batches(docs).select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
@@ -272,7 +272,7 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int = 1, id_
         if held:
             yield flush()
 
-    files = source.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, _SCHEMA)
+    files = source.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(trimmed(run), _SCHEMA)
     files.write.mode("overwrite").parquet(out)
     return out
 
@@ -307,7 +307,7 @@ def read_token_files(spark, out: str, keep_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", token_ids array<long>" if keep_ids else "")
-    return files.join(base, "shard").select("doc_ids", "doc_lens", "block_offsets", "escapes", "payload", "shard_start", "base").mapInArrow(run, schema)
+    return files.join(base, "shard").select("doc_ids", "doc_lens", "block_offsets", "escapes", "payload", "shard_start", "base").mapInArrow(trimmed(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, out: str | None = None, **options) -> DataFrame:
