@@ -39,6 +39,7 @@ from .textscan import mix, scan
 
 HEAD = 1 << 18
 BATCH_BYTES, BLOCK = 2048, 1 << 15
+GATHER_ROWS, GATHER_BYTES = 40_000, 1 << 22
 STEPS, VOCABULARY_SHARE = 3, 0.05
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _U = np.uint64
@@ -60,6 +61,8 @@ class Lattice:
         self.shadowed = np.flatnonzero(self.table[(mix(keys) >> _U(44)).astype(np.int64)] != np.arange(len(keys)))
         self.shadow_keys, at = np.unique(keys[self.shadowed], return_index=True)
         self.shadow_ids = self.shadowed[at]
+        self.crowded = np.zeros(_SLOTS, bool)  # slots that more than one piece wants
+        self.crowded[(mix(self.shadow_keys) >> _U(44)).astype(np.int64)] = True
 
     @staticmethod
     def _key(piece: bytes) -> int:
@@ -71,10 +74,11 @@ class Lattice:
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece id of each key, -1 where none."""
         flat = h.ravel()
-        got = self.table[(mix(flat) >> _U(44)).astype(np.int64)]
+        slot = (mix(flat) >> _U(44)).astype(np.int64)
+        got = self.table[slot]
         got = np.where((got >= 0) & (self.keys[got] == flat), got, -1)
         if len(self.shadow_keys):
-            lost = np.flatnonzero(got < 0)
+            lost = np.flatnonzero((got < 0) & self.crowded[slot])
             spot = np.minimum(np.searchsorted(self.shadow_keys, flat[lost]), len(self.shadow_keys) - 1)
             hit = self.shadow_keys[spot] == flat[lost]
             got[lost[hit]] = self.shadow_ids[spot[hit]]
@@ -216,6 +220,18 @@ def blocks(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.array([row]), np.concatenate([[np.uint8(0x20)], data[offsets[row] : offsets[row + 1]]])[None]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = GATHER_ROWS, size: int = GATHER_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches put together to about `rows` rows or `size` bytes: words are grouped by length, and small groups cost as much as large ones."""
+    held, n, b = [], 0, 0
+    for batch in batches:
+        held, n, b = [*held, batch], n + batch.num_rows, b + batch.nbytes
+        if n >= rows or b >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n, b = [], 0, 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     """Pieces of a SentencePiece model (256 single bytes first) and their starting log weights."""
@@ -283,7 +299,7 @@ def train(words: DataFrame, ends: int, path: str, steps: int = STEPS, vocabulary
 
         def run(batches: Iterator[pa.RecordBatch], logp=logp) -> Iterator[pa.RecordBatch]:
             lattice, all_uses, part_uses, gain = Lattice(vocabulary(path)[0], logp), 0.0, 0.0, 0.0
-            for batch in batches:
+            for batch in gathered(batches):
                 c, dev = (batch.column(k).to_numpy().astype(float) for k in (1, 2))
                 (every, part), total = lattice.expected(batch.column(0), c, c - dev)
                 all_uses, part_uses, gain = all_uses + every, part_uses + part, gain + float((total * dev).sum())
@@ -337,7 +353,7 @@ def score_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
     def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Lattice(vocabulary(path)[0], logp)
-        for batch in batches:
+        for batch in gathered(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), pa.array(scorer.score(batch.column(2)) / np.log(10))], ["h", "g", "c", "seen", "lp"])
 
     scored = cut(words.select("h", "g", "word", "c", "seen").mapInArrow(trimmed(score_words), "h long, g long, c long, seen long, lp double"))

@@ -273,3 +273,13 @@ def test_pipeline_with_odd_and_empty_tables(spark, docs_of, odd_rows, tmp_path):
         else:  # repeated rows of an id leave one, rows without text or letters go, null ids stay
             ids = [r.doc_id for r in rows]
             assert len(ids) == len(set(ids)) and not {1, 2, 3} & set(ids) and {4, 100} <= set(ids)
+
+
+def test_words_are_gathered_before_they_are_scored():
+    """Batches of few rows are put together, with the same rows in the same order, up to a bound."""
+    words = [f"w{i}".encode() for i in range(1000)]
+    small = [pa.RecordBatch.from_arrays([pa.array(words[i : i + 10]), pa.array(range(i, i + 10))], ["word", "c"]) for i in range(0, 1000, 10)]
+    out = list(lm.gathered(iter(small), rows=400))
+    assert [b.num_rows for b in out] == [400, 400, 200]
+    assert [w for b in out for w in b.column(0).to_pylist()] == words and [c for b in out for c in b.column(1).to_pylist()] == list(range(1000))
+    assert len(list(lm.gathered(iter(small), size=1))) == 100 and not list(lm.gathered(iter([])))
