@@ -49,7 +49,12 @@ EXTRA = {
     "ip6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
 }
 ALL_KINDS = [*KINDS, *EXTRA]
-GATE = r"(?i)@|[0-9]{3}|[\[(]at[\])]| at |[0-9]\.[0-9]|:[0-9a-f]{1,4}:"
+#: What every text with a match of EXTRA holds: one of the strings, which are looked for quickly, and then the pattern.  The pattern of all kinds is slow and most texts have none.
+GATES = [
+    ([" at ", "(at", "[at"], r"(?: at |[\[(]at[\])] ?)[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z]{2}"),
+    (list("0123456789"), r"[0-9]{3}[ .-][0-9]{4}|[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
+    ([":"], r":[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"),
+]
 
 #: Gazetteers.
 DOMAINS = "com|org|net|edu|gov|mil|int|info|io|de|fr|es|uk|it|nl|eu|us|ca|au|ch|at|be"
@@ -71,13 +76,19 @@ _OCTETS = "forall(split(m.value, '[.]', -1), p -> char_length(ltrim('0', p)) <=
 _OCTETS = _OCTETS.replace("ltrim('0', p)", "regexp_replace(p, '^0+', '')")
 
 
+def _gate(text: str) -> str:
+    """SQL: whether a text can hold a match of EXTRA."""
+    held = lambda strings: " or ".join(f"contains({text}, {quoted(x)})" for x in strings)
+    return "(" + " or ".join(f"(({held(strings)}) and {text} rlike {quoted(pattern)})" for strings, pattern in GATES) + ")"
+
+
 def _base(kind: str, text: str) -> str:
     if kind == "email":
         return span_sql(text, EMAIL, "@", True)
     if kind == "ip":
-        return f"filter({span_sql(text, IP, None, True)}, m -> {_OCTETS})"
+        return f"filter({span_sql(text, IP, "[0-9][.][0-9]", True)}, m -> {_OCTETS})"
     if kind == "card":
-        return f"filter({span_sql(text, CARD, None, True)}, m -> {_luhn(_DIGITS)})"
+        return f"filter({span_sql(text, CARD, "(?:[0-9][ -]?){15}[0-9]", True)}, m -> {_luhn(_DIGITS)})"
     return f"filter({span_sql(text, PHONE, "[+][0-9]", True)}, m -> char_length({_DIGITS}) between 8 and 15)"
 
 
@@ -86,7 +97,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(docs[id_col].alias("_id"), *[docs[c].alias(f"_keep{i}") for i, c in enumerate(keep)], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
     rows = rows.select("*", *[F.expr(_base(k, "_text")).alias(f"_{k}") for k in KINDS])
     every = span_sql("_text", "|".join(f"(?:{p})" for p in EXTRA.values()), None, True)
-    rows = rows.withColumn("_more", F.expr(f"case when _text rlike {quoted(GATE)} then {every} else cast(array() as array<{AROUND}>) end"))
+    rows = rows.withColumn("_more", F.expr(f"case when {_gate('_text')} then {every} else cast(array() as array<{AROUND}>) end"))
     kind = "case " + " ".join(f"when m.value rlike {quoted('^(?:' + p + ')$')} then '{k}'" for k, p in EXTRA.items()) + " else 'local' end"
     rows = rows.withColumn("_extra", F.expr(apart("_more", [f"_{k}" for k in KINDS], AROUND))).drop("_more")
     return rows.withColumn("_extra", F.expr(f"transform(_extra, m -> named_struct('start', m.start, 'end', m.end, 'value', m.value, 'before', m.before, 'after', m.after, 'kind', {kind}))"))

@@ -84,6 +84,15 @@ def test_pii_base(docs_of):
         assert set(spans) <= set(r.spans.split(","))
 
 
+def test_pii_gates_hold_back_no_match_and_most_texts(docs_of):
+    mails = [f"{a}ann{at}host{dot}com" for a in ("", "x ") for at in (" at ", "(at)", " [at] ", "[at)", " (at)", "(at] ") for dot in (".", " dot ", "(dot)", " [dot] ", "[dot)")]
+    others = ["GB29 NWBK ABCD EFGH", "DE12ABCDEFGHIJKL", "(415) 555-0134", "415.555.0134", "415 555-0134", "123-45-6789", "ab:cd:ef:ab:cd:ef:ab:cd", "1:22:333:4444:a:b:c:D"]
+    plain = ["we met at noon. 12 of 300 came at 10:30:05, as planned", "AB12 is 5-1234", "(at) the door", ""]
+    rows = pii.scan(docs_of([*mails, *others, *plain])).orderBy("_id").collect()
+    assert [[m.value for m in r._extra] for r in rows] == [[x.removeprefix("x ")] for x in mails] + [[x] for x in others] + [[]] * len(plain)
+    assert [r.g for r in docs_of(plain).orderBy("doc_id").selectExpr(f"{pii._gate('text')} as g").collect()] == [False] * len(plain)
+
+
 def test_pii_learns_from_votes(docs_of):
     rng = random.Random(5)
     number = lambda n: "".join(rng.choice("23456789") for _ in range(n))
